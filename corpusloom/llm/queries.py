@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.functions.identity import ASCII, FULL_WIDTH, UNKNOWN_WORDS
 from corpusloom.llm.capping import cap_contributors
+from corpusloom.llm.disclosure import find_personal, sanitise
+from corpusloom.llm.leakage import leaked_prompts
 from corpusloom.llm.lookalikes import consistent_forms, same_looking_pairs
 from corpusloom.llm.mixing import mix_sources
 from corpusloom.llm.overlap import cross_split_overlap, overlap_report
+from corpusloom.llm.packing import pack, packing_report
 from corpusloom.llm.splitting import assign_splits, related_groups
+from corpusloom.llm.stuffing import find_stuffed
 from corpusloom.sources.tables import table
 
 
@@ -77,8 +82,83 @@ def p6_report(spark: SparkSession, folder: str) -> DataFrame:
     return overlap_report(cross_split_overlap(table(spark, folder, "clip_records")).pairs)
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Clips and the types of personal information in their transcripts."""
+    found = find_personal(table(spark, folder, "clip_records"), table(spark, folder, "given_names"), "clip_id", "transcript").found
+    return found.select(F.col("id").alias("clip_id"), F.explode("spans.type").alias("pii_type")).distinct()
+
+
+def p3_clean(spark: SparkSession, folder: str) -> DataFrame:
+    """Every transcript with placeholders in place of personal information."""
+    return sanitise(table(spark, folder, "clip_records"), table(spark, folder, "given_names"), "clip_id", "transcript")
+
+
+def p7_pack(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents in containers of 2,048 tokens."""
+    return pack(table(spark, folder, "documents"))
+
+
+def p7_report(spark: SparkSession, folder: str) -> DataFrame:
+    """How many containers that takes, and how full they are."""
+    return packing_report(pack(table(spark, folder, "documents")))
+
+
+def _leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return leaked_prompts(table(spark, folder, "documents"), table(spark, folder, "evaluation_prompts"), table(spark, folder, "given_names"))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents and the prompts of which they hold at least half in one run."""
+    found = _leaks(spark, folder).where("run_words >= 6 and 2 * run_words >= prompt_words")
+    return found.select(F.col("doc_id").cast("long").alias("doc_id"), "id").distinct()
+
+
+def p8_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with re-parameterised prompts, and the length of each run."""
+    return _leaks(spark, folder)
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents of keywords, links or product tags."""
+    return find_stuffed(table(spark, folder, "documents", "doc_id", "text", "lang")).documents.where("stuffed").select("doc_id")
+
+
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The share of such passages in every document."""
+    return find_stuffed(table(spark, folder, "documents", "doc_id", "text", "lang")).documents
+
+
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_capped, p2_found, p2_mix, p2_shares, p4_found, p4_splits, p5_found, p5_forms, p6_found, p6_report)
+    for f in (
+        p1_found, p1_capped, p2_found, p2_mix, p2_shares, p3_found, p3_clean, p4_found, p4_splits, p5_found, p5_forms,
+        p6_found, p6_report, p7_pack, p7_report, p8_found, p8_leaks, p9_found, p9_shares,
+    )
+}
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def canonical_id_sql(column: str) -> str:
+    """The SQL of functions.identity.canonical_id."""
+    wide = f"translate({column}, {_quoted(FULL_WIDTH)}, {_quoted(ASCII)})"
+    key = f"regexp_replace(lower(translate({wide}, 'Iıİ', 'iii')), '[^\\p{{L}}\\p{{N}}]', '', 'g')"
+    return f"(CASE WHEN {key} NOT IN ('', {', '.join(map(_quoted, UNKNOWN_WORDS))}) THEN {key} END)"
+
+
+MICROS_SQL = "(CASE WHEN duration_seconds IS NULL OR isnan(duration_seconds) OR duration_seconds <= 0 THEN 0 ELSE CAST(round(duration_seconds * 1e6) AS BIGINT) END)"
+
+SQL: dict[str, str] = {
+    "p1_found": f"""
+        WITH c AS (SELECT DISTINCT clip_id, speaker_id, duration_seconds, {canonical_id_sql("speaker_id")} AS g, {MICROS_SQL} AS s FROM clip_records),
+        over_cap AS (SELECT g FROM c WHERE g IS NOT NULL GROUP BY g HAVING count(*) > 40 OR sum(s) > 600000000)
+        SELECT DISTINCT speaker_id FROM c WHERE g IN (SELECT g FROM over_cap)""",
+    "p2_found": f"""
+        WITH c AS (SELECT DISTINCT clip_id, source_dataset, {canonical_id_sql("source_dataset")} AS g, {MICROS_SQL} AS s FROM clip_records),
+        t AS (SELECT sum(s) AS total FROM c),
+        per AS (SELECT g, sum(s) AS s FROM c GROUP BY g)
+        SELECT m.source_dataset FROM mixture_targets m CROSS JOIN t LEFT JOIN per p ON p.g = {canonical_id_sql("m.source_dataset")}
+        WHERE coalesce(p.s, 0) * m.max_repeats < m.target_share * t.total""",
 }
-SQL: dict[str, str] = {}
