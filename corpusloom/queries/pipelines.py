@@ -42,7 +42,7 @@ def paired_references(spark: SparkSession, folder: str) -> DataFrame:
     return pipelines.paired_references(c).select("clip_id", "sibling", "replay")
 
 
-@query("""SELECT p.id, g.config, g.scale, s.seed FROM evaluation_prompts p CROSS JOIN (VALUES ('base', 1.0), ('warm', 1.1)) g(config, scale) CROSS JOIN (SELECT range AS seed FROM range(4)) s WHERE p.category IN ('general', 'numeric')""")
+@query("""SELECT p.id, g.config, CAST(g.scale AS DOUBLE) AS scale, s.seed FROM evaluation_prompts p CROSS JOIN (VALUES ('base', 1.0), ('warm', 1.1)) g(config, scale) CROSS JOIN (SELECT range AS seed FROM range(4)) s WHERE p.category IN ('general', 'numeric')""")
 def param_grid(spark: SparkSession, folder: str) -> DataFrame:
     """Prompts of two categories with every configuration and seed."""
     prompts = table(spark, folder, "evaluation_prompts", "id", "category").where(F.col("category").isin("general", "numeric")).select("id")
