@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def total(x: Column) -> Column:
     """The sum, in order, in double precision."""
     return F.aggregate(x, F.lit(0.0), lambda a, v: a + v.cast("double"))
@@ -23,7 +30,7 @@ def norm(x: Column) -> Column:
 
 def unit(x: Column) -> Column:
     """x over its length, which is at least 1e-8."""
-    return F.transform(x, lambda v: v.cast("double") / F.greatest(norm(x), F.lit(1e-8)))
+    return let(F.greatest(norm(x), F.lit(1e-8)), lambda n: F.transform(x, lambda v: v.cast("double") / n))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -57,38 +64,46 @@ def frames(x: Column, size: int) -> Column:
 
 def frame_levels(x: Column, size: int) -> Column:
     """The root mean square of each frame."""
-    return F.transform(frames(F.transform(x, lambda v: v.cast("double")), size), lambda f: F.sqrt(dot(f, f) / size))
+    return let(F.transform(x, lambda v: v.cast("double")), lambda d: F.transform(frames(d, size), lambda f: F.sqrt(dot(f, f) / size)))
 
 
 def percentile_of(x: Column, share: float) -> Column:
     """Linear percentile of an array."""
-    s = F.array_sort(x)
-    at = (F.size(x) - 1) * F.lit(share)
-    low = F.floor(at).cast("int")
-    a, b = F.element_at(s, low + 1), F.element_at(s, F.least(low + 2, F.size(x)))
-    return F.when(F.size(x) > 0, a + (b - a) * (at - low))
+
+    def between(s: Column) -> Column:
+        at = (F.size(s) - 1) * F.lit(share)
+        low = F.floor(at).cast("int")
+        a, b = F.get(s, low), F.get(s, F.least(low + 1, F.size(s) - 1))
+        return F.when(F.size(s) > 0, a + (b - a) * (at - low))
+
+    return let(F.array_sort(x), between)
 
 
 def signal_metrics(x: Column, frame: int, floor_db: float = -45.0) -> Column:
     """peak, rms_db, clipping, active and snr_db of a signal."""
-    levels = frame_levels(x, frame)
-    noise, loud = F.coalesce(percentile_of(levels, 0.1), F.lit(0.0)), F.coalesce(percentile_of(levels, 0.9), F.lit(0.0))
-    active = F.greatest(F.lit(10 ** (floor_db / 20)), noise * 2)
     share = lambda n, of: F.when(of > 0, n / of).otherwise(0.0)
-    return F.struct(
-        F.array_max(F.transform(x, lambda v: F.abs(v.cast("double")))).alias("peak"),
-        (20 * F.log10(F.greatest(F.sqrt(dot(x, x) / F.size(x)), F.lit(1e-12)))).alias("rms_db"),
-        share(F.size(F.filter(x, lambda v: F.abs(v.cast("double")) >= 0.995)), F.size(x)).alias("clipping"),
-        share(F.size(F.filter(levels, lambda v: v >= active)), F.size(levels)).alias("active"),
-        (20 * F.log10((loud + 1e-8) / (noise + 1e-8))).alias("snr_db"),
-    )
+
+    def described(levels: Column) -> Column:
+        ends = F.struct(F.coalesce(percentile_of(levels, 0.1), F.lit(0.0)).alias("noise"), F.coalesce(percentile_of(levels, 0.9), F.lit(0.0)).alias("loud"))
+        return let(ends, lambda e: F.struct(
+            F.array_max(F.transform(x, lambda v: F.abs(v.cast("double")))).alias("peak"),
+            (20 * F.log10(F.greatest(F.sqrt(dot(x, x) / F.size(x)), F.lit(1e-12)))).alias("rms_db"),
+            share(F.size(F.filter(x, lambda v: F.abs(v.cast("double")) >= 0.995)), F.size(x)).alias("clipping"),
+            share(F.size(F.filter(levels, lambda v: v >= F.greatest(F.lit(10 ** (floor_db / 20)), e["noise"] * 2))), F.size(levels)).alias("active"),
+            (20 * F.log10((e["loud"] + 1e-8) / (e["noise"] + 1e-8))).alias("snr_db"),
+        ))
+
+    return let(frame_levels(x, frame), described)
 
 
 def static_share(x: Column, frame: int, least: float = 0.05) -> Column:
     """The share of neighbouring frames whose mean absolute difference is below least."""
-    f = frames(F.transform(x, lambda v: v.cast("double")), frame)
-    moves = F.when(F.size(f) > 1, F.transform(F.sequence(F.lit(1), F.size(f) - 1), lambda i: total(F.zip_with(F.element_at(f, i), F.element_at(f, i + 1), lambda a, b: F.abs(a - b))) / frame)).otherwise(F.array().cast("array<double>"))
-    return F.when(F.size(moves) > 0, F.size(F.filter(moves, lambda v: v < least)) / F.size(moves)).otherwise(0.0)
+
+    def still(f: Column) -> Column:
+        moves = F.transform(F.sequence(F.lit(1), F.size(f) - 1), lambda i: total(F.zip_with(F.element_at(f, i), F.element_at(f, i + 1), lambda a, b: F.abs(a - b))) / frame)
+        return F.when(F.size(f) > 1, F.size(F.filter(moves, lambda v: v < least)) / (F.size(f) - 1)).otherwise(0.0)
+
+    return let(frames(F.transform(x, lambda v: v.cast("double")), frame), still)
 
 
 def by_position(df: DataFrame, vector: str, *by: str, sample: bool = True) -> DataFrame:
