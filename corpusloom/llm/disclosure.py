@@ -38,6 +38,9 @@ EMAIL = re.compile(r"[\w.+\-]*\w[ ]?@[ ]?[\w\-]+(?:\.[\w\-]+)*\.[^\W\d_]{2,}")
 PART = r"[\w\-]+"
 JOINT = r"\s(?:nokta|alt çizgi|tire|artı)\s"
 SPOKEN_EMAIL = re.compile(rf"{PART}(?:{JOINT}{PART})*\s(?:et işareti|kuyruklu a)\s{PART}(?:\s(?:tire|alt çizgi)\s{PART})*(?:\snokta\s{PART})+")
+VEILED_AT, VEILED_DOT = r"\s?[\[({](?:at|et)[\])}]\s?", r"(?:\s?[\[({](?:dot|nokta)[\])}]\s?|\s(?:nokta|dot)\s|\.)"
+VEILED_EMAIL = re.compile(rf"[\w.+\-]*\w(?:{JOINT}[\w.+\-]+)*{VEILED_AT}[\w\-]+(?:{VEILED_DOT}[\w\-]+)+")
+VEILED = re.compile(r"[\[({](?:at|et)[\])}]")
 PHONE = re.compile(r"(?<![\w+])(?<!\d[ .\-])(?:\+?90[ .\-]{0,2}|0[ .\-]{0,2})?(?:\([2-5]\d{2}\)|[2-5]\d{2})[ .\-]{0,2}\d{3}[ .\-]{0,2}\d{2}[ .\-]{0,2}\d{2}(?!\w)(?![ .\-]\d)")
 SPACED_PHONE = re.compile(r"(?<![\w+])(?<!\d[ .\-])(?:\+?9 0 |0 )?[2-5](?: \d){9}(?!\w)(?! \d)")
 IDENTITY = re.compile(r"(?<!\w)(?<!\d[ .\-])[1-9](?:[ .\-]?\d){10}(?!\w)(?![ .\-]\d)")
@@ -138,8 +141,9 @@ def scan(text: str, names: frozenset[str]) -> tuple[list[tuple], list[tuple]]:
     """(spans, candidates) of a text, both in its own places.
 
     spans: (type, start, end) of e-mail addresses, phone and identity numbers and addresses. candidates: (start, end,
-    left word, word, ending, right word, case) of a given name, or several, and the next word; case is 1 where both
-    have a capital, 0 where not, and -1 where the whole text is in capitals.
+    left word, word, ending, right word, case) of a given name, or several, and the next word; a mark that stands
+    between counts as the left or right word; case is 1 where both words have a capital, 0 where not, and -1 where the
+    whole text is in capitals.
     """
     plain, places = folded(text)
     low = turkish_lower(plain)
@@ -152,6 +156,9 @@ def scan(text: str, names: frozenset[str]) -> tuple[list[tuple], list[tuple]]:
     if "@" in low:
         for m in EMAIL.finditer(plain):
             take("email", *m.span())
+    if VEILED.search(low):
+        for m in VEILED_EMAIL.finditer(low):
+            take("email", *m.span())
     if "işareti" in low or "kuyruklu" in low:
         for m in SPOKEN_EMAIL.finditer(low):
             take("email", *m.span())
@@ -197,8 +204,10 @@ def scan(text: str, names: frozenset[str]) -> tuple[list[tuple], list[tuple]]:
                 last, near = k, True
             if near:
                 a, b = clear[first].start(), clear[last].end()
-                left = clear[first - 1][0] if first and "\n" not in plain[clear[first - 1].end() : a] else "^"
-                right = clear[last + 1][0] if last + 1 < len(clear) else "$"
+                before = plain[clear[first - 1].end() : a].strip() if first else "^"
+                after = plain[b : clear[last + 1].start()].strip() if last + 1 < len(clear) else plain[b:].strip() or "$"
+                left = before[:1] or clear[first - 1][0]
+                right = after[:1] or clear[last + 1][0]
                 word = clear[last][0]
                 case = -1 if capitals else int(plain[a].isupper() and plain[clear[last].start()].isupper())
                 candidates.append((a, b, left, word, word[-4:], right, case))

@@ -16,6 +16,9 @@ def kinds(text):
         ("ayca-ulver @ mektup.test olur", ["email"]),
         ("ayca＠mektup.test", ["email"]),
         ("adresim elif alt çizgi tan80 et işareti hat nokta test olarak", ["email"]),
+        ("bana levent-dere (et) hat.kutu nokta test yazın", ["email"]),
+        ("esra_19 [at] hat [dot] kutu [dot] example", ["email"]),
+        ("salonda (at) resmi ve (et) yemeği vardı", []),
         ("tanesi 2 adet @ 96 lira yazıyordu", []),
         ("kasaptan et ve yağmur alıp son nokta olarak bıraktık", []),
         ("beni 0 (597) 169 23 54 arayın", ["phone_number"]),
