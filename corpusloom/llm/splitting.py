@@ -16,6 +16,8 @@ from corpusloom.session import cut
 
 PROPORTIONS = {"train": 0.9, "validation": 0.05, "test": 0.05}
 SHARD = 20_000
+#: Bins that are dealt to the splits: shares are met to about half a bin.
+BINS = 400
 
 
 @dataclass(frozen=True)
@@ -86,7 +88,7 @@ def difference_bins(weights: list[int], bins: int) -> list[list[int]]:
     return done + [[] for _ in range(bins - len(done))]
 
 
-def balance_splits(groups: DataFrame, proportions: dict[str, float] | None = None, bins: int = 100, shard: int = SHARD, group_col: str = "group_id", weight_col: str = "records") -> DataFrame:
+def balance_splits(groups: DataFrame, proportions: dict[str, float] | None = None, bins: int = BINS, shard: int = SHARD, group_col: str = "group_id", weight_col: str = "records") -> DataFrame:
     """(group, weight, split): whole groups in splits of the given proportions of the total weight.
 
     Method: largest-differencing balance. Groups are hashed to shards of about `shard` groups; each shard is balanced
@@ -143,7 +145,7 @@ def balance_splits(groups: DataFrame, proportions: dict[str, float] | None = Non
     return placed.join(F.broadcast(where), ["shard", "bin"]).select("group_id", "weight", "split").unionByName(giants.join(F.broadcast(heavy), giants["group_id"].eqNullSafe(heavy["group_id"])).select(giants["group_id"], "weight", "split"))
 
 
-def assign_splits(records: DataFrame, proportions: dict[str, float] | None = None, id_col: str = "clip_id", speaker_col: str = "speaker_id", session_col: str = "session_id", bins: int = 100) -> DataFrame:
+def assign_splits(records: DataFrame, proportions: dict[str, float] | None = None, id_col: str = "clip_id", speaker_col: str = "speaker_id", session_col: str = "session_id", bins: int = BINS) -> DataFrame:
     """(id, group_id, split) of every record, see related_groups and balance_splits."""
     found = related_groups(records, id_col, speaker_col, session_col)
     of = balance_splits(found.groups, proportions, bins)
