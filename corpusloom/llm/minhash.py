@@ -58,7 +58,7 @@ def band_keys(texts: list[str], shingle: int = SHINGLE, bands: int = BANDS, rows
 
 
 def buckets(texts: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(key, size, side, bucket): one row a text and band, from texts (key long, text, side int)."""
+    """(key, side, bucket): one row a text and band, from texts (key long, text, side int)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -67,15 +67,13 @@ def buckets(texts: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows:
                 part = batch.slice(at, step)
                 words = part.column(1).to_pylist()
                 keys = band_keys(words, shingle, bands, rows)
-                size = np.fromiter(map(len, words), np.int32, len(words))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.repeat(part.column(0).to_numpy(zero_copy_only=False), bands)),
-                        pa.array(np.repeat(size, bands)),
                         pa.array(np.repeat(part.column(2).to_numpy(zero_copy_only=False).astype(np.int32), bands)),
                         pa.array(keys.reshape(-1)),
                     ],
-                    names=["key", "size", "side", "bucket"],
+                    names=["key", "side", "bucket"],
                 )
 
-    return texts.select("key", "text", "side").mapInArrow(run, "key long, size int, side int, bucket long")
+    return texts.select("key", "text", "side").mapInArrow(run, "key long, side int, bucket long")

@@ -68,10 +68,9 @@ def cross_split_overlap(
     texts = base.where("text is not null").groupBy("text_key").agg(F.min("text").alias("text"), F.bit_or("side").cast("int").alias("side"))
     texts = cut(texts)
     hashed = buckets(texts.select(F.col("text_key").alias("key"), "text", "side"), shingle, bands, rows)
-    room = F.expr(f"abs(size_a - size_b) <= {most_edits} * greatest(size_a, size_b)") if least_jaccard is None else F.lit(True)
-    a = hashed.where("(side & 2) > 0").select("bucket", F.col("key").alias("a"), F.col("size").alias("size_a"))
-    b = hashed.where("(side & 1) > 0").select("bucket", F.col("key").alias("b"), F.col("size").alias("size_b"))
-    near = a.join(b, "bucket").where(room & (F.col("a") != F.col("b"))).select("a", "b").distinct()
+    a = hashed.where("(side & 2) > 0").select("bucket", F.col("key").alias("a"))
+    b = hashed.where("(side & 1) > 0").select("bucket", F.col("key").alias("b"))
+    near = a.join(b, "bucket").where("a <> b").select("a", "b").distinct()
     left = texts.select(F.col("text_key").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("text_key").alias("b"), F.col("text").alias("text_b"))
     both = near.join(left, "a").join(right, "b")
