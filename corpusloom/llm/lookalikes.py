@@ -25,12 +25,28 @@ LATIN = "".join(b for _, b in LOOKALIKES.values())
 UNSEEN = r"[\p{Cf}͏ᅟᅠ឴឵᠋-᠍ㅤ︀-️ﾠ]"
 # Half-width punctuation and signs, with their usual forms.
 SIGNS = ("￠￡￢￣￤￥￦‐‑", "¢£¬¯¦¥₩--")
+# Ranges with characters for several letters at once (ligatures, digraphs, Roman numerals, presentation forms
+# of other scripts) or for one letter in another place (radicals, half-width letters), all drawn like the letters themselves.
+DRAWN_ALIKE = (
+    (0x0132, 0x0133), (0x013F, 0x0140), (0x0149, 0x0149), (0x01C4, 0x01CC), (0x01F1, 0x01F3), (0x0E33, 0x0E33), (0x0EB3, 0x0EB3),
+    (0x0EDC, 0x0EDD), (0x2135, 0x2138), (0x2160, 0x217F), (0x2F00, 0x2FD5), (0xFB00, 0xFB06), (0xFB13, 0xFB17), (0xFB20, 0xFB28),
+    (0xFB4F, 0xFBB1), (0xFBD3, 0xFD3D), (0xFE80, 0xFEFC), (0xFF66, 0xFF9F), (0xFFA1, 0xFFDC),
+)
 # What a text without any such character is made of, as a class of Java's regular expressions.
-USUAL = r"\x20-\x7E\u00A1-\u00AC\u00AE-\u024F\u2013\u2014\u2018-\u201D\u2026\u20AC\u20BA"
+USUAL = r"\x20-\x7E\u00A1-\u00AC\u00AE-\u0131\u0134-\u013E\u0141-\u0148\u014A-\u01C3\u01CD-\u01F0\u01F4-\u024F\u2013\u2014\u2018-\u201D\u2026\u20AC\u20BA"
 FOREIGN = r"[\p{IsCyrillic}\p{IsGreek}]"
 BROADCAST = 200_000
 
 
+def _plain_letters() -> dict[int, str]:
+    """The letters that each character of DRAWN_ALIKE stands for: one step of its decomposition, which keeps a long s."""
+    steps = {c: unicodedata.decomposition(chr(c)).split() for low, high in DRAWN_ALIKE for c in range(low, high + 1)}
+    return {c: "".join(chr(int(x, 16)) for x in step[1:]) for c, step in steps.items() if step and step[0].startswith("<")}
+
+
+PLAIN_LETTERS = _plain_letters()
+
+
 def unusual(text: Column) -> Column:
     """Whether the form may differ from the text: one native look at most texts instead of all the steps."""
     return text.rlike(f"[^{USUAL}]|  |^ | $")
@@ -45,8 +61,8 @@ def plain_form(text: Column) -> Column:
 
 @F.pandas_udf(T.StringType())
 def composed(text: pd.Series) -> pd.Series:
-    """NFC, with no second dot on a small i."""
-    return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t.replace("i̇", "i")))
+    """Ligatures and their like as plain letters, and NFC, with no second dot on a small i."""
+    return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t.translate(PLAIN_LETTERS).replace("i̇", "i")))
 
 
 @dataclass(frozen=True)
@@ -60,7 +76,7 @@ class Forms:
 def consistent_forms(texts: DataFrame, key_col: str = "id", text_col: str = "text") -> Forms:
     """The consistent form of each text.
 
-    Method: script-aware repair. Width, spaces and unseen characters are unified and marks composed; case,
+    Method: script-aware repair. Width, spaces, ligatures and unseen characters are unified and marks composed; case,
     diacritics, dotless i, punctuation and quotes stay as they are. A token with letters of several scripts has a
     dominant one, by number of letters; where that is, or may be by look-alikes, Latin, its foreign letters are
     replaced by the Latin ones they look like, if every one has such a letter and the result occurs in the corpus

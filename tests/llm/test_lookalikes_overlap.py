@@ -30,6 +30,17 @@ def test_repair_without_a_clean_twin(spark):
     assert form["c"] == form["d"] == "Koruca durdu"
 
 
+def test_ligatures(spark):
+    same = [("haﬁfçe", "hafifçe"), ("kuﬂa", "kufla"), ("oﬃs", "ofis".replace("f", "ff")), ("eﬀaﬄ", "effaffl"), ("baﬅ", "baſt"), ("poﬆa", "posta"), ("ĳs", "ijs"), ("ǆep", "džep"), ("Ⅳ. bölüm", "IV. bölüm"), ("ﻻ", "لا")]
+    apart = ["x²", "x2", "½", "1⁄2", "ª", "a", "№", "No", "½ ﬁ²", "½ fi2"]
+    rows = [(f"s{n}{side}", t) for n, pair in enumerate(same) for side, t in zip("ab", pair)] + [(f"t{n}", t) for n, t in enumerate(apart)]
+    forms = consistent_forms(spark.createDataFrame(rows, "id string, text string")).forms
+    form = {r.key: r.form for r in forms.collect()}
+    assert all(form[f"s{n}a"] == form[f"s{n}b"] == b for n, (_, b) in enumerate(same))
+    assert len({form[f"t{n}"] for n in range(len(apart))}) == len(apart)
+    assert {(r.id_a, r.id_b) for r in same_looking_pairs(forms).collect()} == {(f"s{n}a", f"s{n}b") for n in range(len(same))}
+
+
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
