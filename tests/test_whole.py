@@ -1,0 +1,48 @@
+"""Queries over whole tables, on small tables with what the narrower ones leave out."""
+
+import pytest
+
+from corpusloom.operators import joins
+from corpusloom.queries import all_queries
+
+
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    """Clips of every source, spelling and kind of session, in one folder of tables."""
+    path = tmp_path_factory.mktemp("whole")
+    spellings = ["sy-1", " SY-1", "sy_1", "ka-2", "unknown", None]
+    sessions = ["s-2031-1", "S_2031-1", "s-2031-2", "unknown", "", None]
+    rows = [
+        (f"c{k:03}", ["haber-spiker", "Haber Spiker", "kitap-anlatim", "masal-kosesi"][k % 4], spellings[k % 6], sessions[k // 3 % 6], [2.5, 4.0, 7.0, 1.0, 13.0, None, float("nan")][k % 7], "x" * (k % 5 * 80), None, (f"c{k // 8 * 8:03}" if k % 3 else None,))
+        for k in range(96)
+    ]
+    rows += rows[:9]
+    names = "clip_id string, source_dataset string, speaker_id string, session_id string, duration_seconds double, normalized_transcript string, transcript string, metadata struct<parent_clip_id: string>"
+    spark.createDataFrame(rows, names).write.parquet(f"{path}/clip_records.parquet")
+    return str(path), {r[0]: r for r in rows}
+
+
+def canonical(text):
+    key = "".join(c for c in (text or "").lower() if c.isalnum())
+    return None if key in ("", "unknown") else key
+
+
+def test_theta_pairs_whole(spark, folder):
+    path, clips = folder
+    want = set()
+    for t in clips.values():
+        for r in clips.values():
+            known = canonical(t[2]) and t[4] is not None and r[4] is not None
+            if known and canonical(t[2]) == canonical(r[2]) and (t[7][0] or t[0]) != (r[7][0] or r[0]) and 2 <= r[4] <= 12 and t[4] + r[4] <= 12 and len(t[5]) + len(r[5]) + 1 <= 512:
+                want.add((t[0], r[0]))
+    got = [(x.target, x.reference) for x in all_queries()["theta_pairs_whole"](spark, path).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert any(clips[t][3] != clips[r][3] and clips[t][2] != clips[r][2] for t, r in got)
+
+
+def test_cross_parent_pairs_of_a_hot_speaker(spark):
+    rows = [(f"i{k}", "hot", f"p{k % 7}", 1.0 + k % 3, 10) for k in range(1200)] + [("a", "few", None, 2.0, 300), ("b", "few", None, 2.0, 211), ("c", "few", "a", 2.0, 1)]
+    got = joins.cross_parent_pairs(spark.createDataFrame(rows, "i string, s string, p string, d double, n int"), "s", "p", "i", "d", "n", 2.0, 3.0, 4.0, 512)
+    want = {(t[0], r[0]) for t in rows for r in rows if t[1] == r[1] and (t[2] or t[0]) != (r[2] or r[0]) and r[3] >= 2 and t[3] + r[3] <= 4 and t[4] + r[4] + 1 <= 512}
+    out = [(x.target, x.reference) for x in got.collect()]
+    assert len(out) == len(want) and set(out) == want and ("a", "b") in want and ("a", "c") not in want
