@@ -141,10 +141,14 @@ def candidate_spread(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _ratings(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    e = table(spark, folder, "events", "event_id", "user_id").where("user_id < 40 and event_id % 30 < 25")
+    return rated(table(spark, folder, "events", "event_id", "user_id").where("user_id < 40 and event_id % 30 < 25"))
+
+
+def rated(e: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Ratings, key and categories of thirty trials, made of events: users as listeners."""
     last = e.groupBy(F.concat(F.lit("u"), "user_id").alias("listener"), (F.col("event_id") % 30 + 1).cast("int").alias("trial")).agg(F.max("event_id").alias("event_id"))
     ratings = last.select("listener", "trial", (F.col("event_id") % 7 - 3).cast("int").alias("cmos"), F.when(F.col("event_id") % 3 == 0, "E").otherwise("H").alias("same_person"))
-    trials = spark.range(1, 31).select(F.col("id").cast("int").alias("trial"))
+    trials = e.sparkSession.range(1, 31).select(F.col("id").cast("int").alias("trial"))
     kind = F.when(F.col("trial") % 10 == 0, "catch").when(F.col("trial") % 2 == 0, "ab").otherwise("anchored")
     key = trials.select("trial", kind.alias("type")).withColumn("B", F.when(F.col("trial") % 3 == 0, "plain").when(F.col("type") == "ab", "gated").otherwise("synth"))
     return ratings, key, trials.select("trial", F.concat(F.lit("c"), F.col("trial") % 4).alias("category"))

@@ -46,3 +46,21 @@ def test_cross_parent_pairs_of_a_hot_speaker(spark):
     want = {(t[0], r[0]) for t in rows for r in rows if t[1] == r[1] and (t[2] or t[0]) != (r[2] or r[0]) and r[3] >= 2 and t[3] + r[3] <= 4 and t[4] + r[4] + 1 <= 512}
     out = [(x.target, x.reference) for x in got.collect()]
     assert len(out) == len(want) and set(out) == want and ("a", "b") in want and ("a", "c") not in want
+
+
+def test_ratings_whole(spark, tmp_path):
+    events = [(k, k * 7 % 90) for k in range(9000)]
+    spark.createDataFrame(events, "event_id long, user_id long").write.parquet(f"{tmp_path}/events.parquet")
+    last = {}
+    for k, user in events:
+        last[user, k % 30 + 1] = k
+    catches = {u: sum(t % 10 == 0 and k % 7 != 3 for (v, t), k in last.items() if v == u) for u in range(90)}
+    kept = {(u, t): k for (u, t), k in last.items() if catches[u] <= 1 and t % 10}
+    score = {x: (3 - k % 7 if x[1] % 3 == 0 else k % 7 - 3) for x, k in kept.items()}
+    report = {(r.level, r.name): r for r in all_queries()["ratings_score_whole"](spark, str(tmp_path)).collect()}
+    assert report["all", "*"].n == len(score) > 0 and max(u for u, _ in kept) >= 40 and max(t for _, t in kept) > 25
+    assert report["all", "*"].mean == pytest.approx(sum(score.values()) / len(score), abs=1e-6)
+    for n in range(4):
+        mine = [s for (_, t), s in score.items() if t % 4 == n]
+        assert ("category", f"c{n}") not in report if not mine else report["category", f"c{n}"].mean == pytest.approx(sum(mine) / len(mine), abs=1e-6)
+    assert all_queries()["ratings_verdict_whole"](spark, str(tmp_path)).first().pooled == report["all", "*"].mean
