@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.session import cut
+
 
 def hash_order(version: str, row_id: Column) -> Column:
     """A fixed order that has nothing to do with the rows."""
@@ -57,6 +59,43 @@ def per_row_sample(pairs: DataFrame, target: str, choice: str, k: int, seed: str
     return pairs.withColumn("__n", F.row_number().over(Window.partitionBy(target).orderBy(order, choice))).where(F.col("__n") <= k).drop("__n")
 
 
+def places(df: DataFrame, *order: str) -> DataFrame:
+    """df with place: the position of each row in the order, from 0. The order must be total.
+
+    Ranges of the order are ranked each on its own, and begin after the rows of those before, so no task sees all rows.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = cut(df.repartitionByRange(n, *order).withColumn("__p", F.spark_partition_id()))
+    sizes = parts.groupBy("__p").agg(F.count(F.lit(1)).alias("__c"))
+    before = sizes.select("__p", (F.sum("__c").over(Window.orderBy("__p")) - F.col("__c")).alias("__before"))
+    rank = F.row_number().over(Window.partitionBy("__p").orderBy(*order))
+    return parts.join(F.broadcast(before), "__p").withColumn("place", F.col("__before") + rank - 1).drop("__p", "__before")
+
+
+def drawn_siblings(df: DataFrame, group: str, row_id: str, k: int, seed: str, bins: int = 64) -> DataFrame:
+    """(target, choice): for every row of a group, k of the group's other rows, or all where there are fewer, drawn by
+    the target's own seed. Rows without a group draw none and are drawn by none. row_id must be unique.
+
+    The rows of a group are numbered, in bins, so that no task sees a whole group; a target draws numbers, each among
+    those that it has not drawn, and looks up their rows: no pairs within a group are formed.
+    """
+    rows = df.select(F.col(group).alias("__g"), F.col(row_id).alias("__i")).where(F.col("__g").isNotNull()).withColumn("__b", F.pmod(F.xxhash64("__i"), F.lit(bins)))
+    sizes = rows.groupBy("__g", "__b").agg(F.count(F.lit(1)).alias("__c"))
+    bins_of = Window.partitionBy("__g")
+    sizes = sizes.select("__g", "__b", (F.sum("__c").over(bins_of.orderBy("__b")) - F.col("__c")).alias("__before"), F.sum("__c").over(bins_of).alias("__n"))
+    numbered = rows.withColumn("__r", F.row_number().over(Window.partitionBy("__g", "__b").orderBy("__i"))).join(sizes, ["__g", "__b"])
+    numbered = numbered.select("__g", "__i", "__n", (F.col("__before") + F.col("__r") - 1).alias("__r"))
+    drawn: list[Column] = [F.col("__r")]
+    for draw in range(k):
+        left = F.col("__n") - 1 - draw
+        number = F.pmod(F.xxhash64(F.lit(f"{seed}:{draw}"), "__i"), F.when(left > 0, left))
+        drawn.append(F.aggregate(F.array_sort(F.array(*drawn)), number, lambda a, x: F.when(x <= a, a + 1).otherwise(a)))
+        numbered = numbered.withColumn(f"__d{draw}", drawn[-1])
+        drawn[-1] = F.col(f"__d{draw}")
+    asked = numbered.select("__g", F.col("__i").alias("target"), F.explode(F.array(*drawn[1:])).alias("__r")).where(F.col("__r").isNotNull())
+    return asked.join(numbered.select("__g", "__r", F.col("__i").alias("choice")), ["__g", "__r"]).select("target", "choice")
+
+
 def duration_batches(df: DataFrame, group: str, row_id: str, frames: Column, budget: int, most: int) -> DataFrame:
     """(group, id, batch): rows sorted by length; a batch is closed before it would pass the budget or at `most` rows."""
     rows = df.select(F.col(group).alias("g"), F.col(row_id).alias("i"), frames.cast("long").alias("n"))

@@ -2,7 +2,7 @@
 
 import pytest
 
-from corpusloom.operators import joins
+from corpusloom.operators import joins, sampling
 from corpusloom.queries import all_queries
 
 
@@ -64,3 +64,29 @@ def test_ratings_whole(spark, tmp_path):
         mine = [s for (_, t), s in score.items() if t % 4 == n]
         assert ("category", f"c{n}") not in report if not mine else report["category", f"c{n}"].mean == pytest.approx(sum(mine) / len(mine), abs=1e-6)
     assert all_queries()["ratings_verdict_whole"](spark, str(tmp_path)).first().pooled == report["all", "*"].mean
+
+
+def test_siblings_and_ranks_whole(spark, folder):
+    path, clips = folder
+    run = lambda name: all_queries()[name](spark, path).collect()
+    others = {i: {j for j, y in clips.items() if j != i and canonical(x[3]) and canonical(y[3]) == canonical(x[3])} for i, x in clips.items()}
+    drawn = {i: [] for i in clips}
+    for r in run("per_row_sample_whole"):
+        drawn[r.target].append(r.choice)
+    assert all(len(set(d)) == len(d) == min(2, len(others[i])) and set(d) <= others[i] for i, d in drawn.items())
+    assert len({clips[i][1] for i, d in drawn.items() if d}) == 4 and any(clips[i][3] != clips[j][3] for i, d in drawn.items() for j in d)
+    fit = {i: sorted((abs(clips[j][4] - 8), j) for j in o if clips[j][4] is not None and 2 <= clips[j][4] <= 12) for i, o in others.items()}
+    want = {(i, f[0][1] if f else None, not f) for i, f in fit.items()}
+    got = [tuple(r) for r in run("paired_references_whole")]
+    assert len(got) == len(clips) and set(got) == want
+    assert {(r.clip_id, r.worker) for r in run("rank_strided_whole")} == {(i, k % 8) for k, i in enumerate(sorted(clips))}
+    assert [tuple(r) for r in sorted(run("speaker_vocabulary_whole"))] == [(s, k) for k, s in enumerate(sorted({x[2] for x in clips.values() if x[2]}), 1)]
+    spark.createDataFrame([("c001",), ("c002",), (None,)], "clip_id string").write.mode("overwrite").parquet(f"{path}/asr_results.parquet")
+    assert {r.clip_id for r in run("pending_anti_whole")} == set(clips) - {"c001", "c002"}
+
+
+def test_drawn_siblings_are_even(spark):
+    rows = [(f"i{k}", "big") for k in range(2000)] + [("a", "two"), ("b", "two"), ("c", "one"), ("d", None)]
+    got = [tuple(r) for r in sampling.drawn_siblings(spark.createDataFrame(rows, "i string, g string"), "g", "i", 3, "7").collect()]
+    assert len(got) == len(set(got)) == 6002 and all(t != c for t, c in got) and {x for x in got if len(x[0]) == 1} == {("a", "b"), ("b", "a")}
+    assert 1850 < len({c for _, c in got}) < 1950  # 1 - e^-3 of them are drawn at least once
