@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,21 +98,66 @@ def drawn_siblings(df: DataFrame, group: str, row_id: str, k: int, seed: str, bi
     return asked.join(numbered.select("__g", "__r", F.col("__i").alias("choice")), ["__g", "__r"]).select("target", "choice")
 
 
-def duration_batches(df: DataFrame, group: str, row_id: str, frames: Column, budget: int, most: int) -> DataFrame:
-    """(group, id, batch): rows sorted by length; a batch is closed before it would pass the budget or at `most` rows."""
-    rows = df.select(F.col(group).alias("g"), F.col(row_id).alias("i"), frames.cast("long").alias("n"))
-    items = F.array_sort(F.collect_list(F.struct("n", "i")))
-    start = F.struct(F.lit(0).cast("long").alias("t"), F.lit(0).alias("c"), F.lit(0).alias("b"), F.array().cast("array<struct<i:string,b:int>>").alias("k"))
+def duration_batches(df: DataFrame, group: str, row_id: str, frames: Column, budget: int, most: int, block: int = 20_000) -> DataFrame:
+    """(group, id, batch): rows sorted by length; a batch is closed before it would pass the budget or at `most` rows.
+    Rows without a group are a group of their own.
 
-    def step(a: Column, x: Column) -> Column:
-        full = (a["c"] > 0) & ((a["t"] + x["n"] > budget) | (a["c"] >= most))
-        batch = F.when(full, a["b"] + 1).otherwise(a["b"])
-        return F.struct(
-            F.when(full, x["n"]).otherwise(a["t"] + x["n"]).alias("t"), F.when(full, 1).otherwise(a["c"] + 1).alias("c"), batch.alias("b"),
-            F.concat(a["k"], F.array(F.struct(x["i"].cast("string").alias("i"), batch.alias("b")))).alias("k"),
-        )
-
-    return rows.groupBy("g").agg(items.alias("items")).select(F.col("g").alias(group), F.explode(F.aggregate("items", start, step)["k"]).alias("x")).select(group, F.col("x.i").alias(row_id), F.col("x.b").alias("batch"))
+    Where a batch ends depends only on where it starts, and it has at most `most` rows. So the ordered rows of all groups
+    are cut into blocks, each of which tells for each of its first `most` rows, were a batch to start there, where the
+    first batch of the next block starts; these short answers are followed block by block, and then every block marks its
+    own starts. No task sees a whole group.
+    """
+    key = F.coalesce(F.concat(F.lit("="), F.col(group).cast("string")), F.lit(""))
+    block = max(block, most)
+    rows = df.select(key.alias("k"), F.col(group).alias("g"), F.col(row_id).alias("i"), frames.cast("long").alias("n"))
+    placed = places(rows, "k", "n", "i").withColumn("block", F.floor(F.col("place") / block))
+    ahead = (F.col("place") % block < most - 1) & (F.col("block") > 0)
+    blocks = F.when(ahead, F.array("block", F.col("block") - 1)).otherwise(F.array("block"))
+    copies = cut(placed.withColumn("own", F.col("block")).withColumn("block", F.explode(blocks)))
+
+    def ends(part: pd.DataFrame) -> tuple[pd.DataFrame, int, np.ndarray]:
+        """The block in order, how many rows are its own, and for each row the place after a batch that starts there."""
+        part = part.sort_values("place")
+        k, n = part["k"].to_numpy(), part["n"].to_numpy()
+        length, total, open_ = np.ones(len(part), dtype=np.int64), n.copy(), np.ones(len(part), dtype=bool)
+        for c in range(1, min(most, len(part))):
+            open_[-c:] = False
+            total[:-c] += n[c:]
+            open_[:-c] &= (k[:-c] == k[c:]) & (total[:-c] <= budget)
+            length += open_
+        return part, int((part["own"] == part["block"]).sum()), np.arange(len(part)) + length
+
+    def answers(part: pd.DataFrame) -> pd.DataFrame:
+        part, own, after = ends(part)
+        out = np.zeros(max(own, most), dtype=np.int64)
+        for j in range(own - 1, -1, -1):
+            out[j] = after[j] - own if after[j] >= own else out[after[j]]
+        return pd.DataFrame({"block": [part["block"].iloc[0]], "leads": [out[:most].tolist()]})
+
+    def followed(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("block")
+        entry, entries = 0, []
+        for leads in part["leads"]:
+            entries.append(entry)
+            entry = int(leads[entry])
+        return pd.DataFrame({"block": part["block"], "entry": entries})
+
+    def marked(part: pd.DataFrame) -> pd.DataFrame:
+        part, own, after = ends(part)
+        starts, j = np.zeros(len(part), dtype=np.int64), int(part["entry"].iloc[0])
+        while j < own:
+            starts[j], j = 1, after[j]
+        return part.assign(start=starts)[["k", "i", "place", "block", "start"]].iloc[:own]
+
+    told = copies.select("block", "own", "place", "k", "n").groupBy("block").applyInPandas(answers, "block long, leads array<long>")
+    entries = told.groupBy((F.col("block") * 0).alias("all")).applyInPandas(followed, "block long, entry long")
+    kind = rows.schema["i"].dataType.simpleString()
+    starts = cut(copies.drop("g").join(F.broadcast(entries), "block").groupBy("block").applyInPandas(marked, f"k string, i {kind}, place long, block long, start long"))
+    sums = starts.groupBy("k", "block").agg(F.sum("start").alias("c"))
+    before = sums.select("k", "block", (F.sum("c").over(Window.partitionBy("k").orderBy("block")) - F.col("c")).alias("before"))
+    within = F.sum("start").over(Window.partitionBy("k", "block").orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
+    name = F.when(F.col("k") != "", F.substr("k", F.lit(2))).cast(rows.schema["g"].dataType)
+    return starts.withColumn("within", within).join(before, ["k", "block"]).select(name.alias(group), F.col("i").cast("string").alias(row_id), (F.col("before") + F.col("within") - 1).cast("int").alias("batch"))
 
 
 def clamped(value: Column, low: float, high: float) -> Column:

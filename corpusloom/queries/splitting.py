@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.functions.identity import canonical_id
 from corpusloom.operators import dedup, joins, sampling, splits
 from corpusloom.operators.vocabulary import character_vocabulary, encoded, speaker_vocabulary
 from corpusloom.queries.registry import query
@@ -180,8 +181,8 @@ def per_row_sample(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def duration_batches(spark: SparkSession, folder: str) -> DataFrame:
-    """Batches of clips of like length, source by source, under a budget of frames."""
-    rows = clips(spark, folder, "clip_id", "session_id", "duration_seconds").where("session_id like 's-%'")
+    """Batches of clips of like length, session by session, under a budget of frames; clips without a session are one group."""
+    rows = clips(spark, folder, "clip_id", "session_id", "duration_seconds").withColumn("session_id", canonical_id(F.col("session_id")))
     return sampling.duration_batches(rows, "session_id", "clip_id", units(), 30_000, 8)
 
 

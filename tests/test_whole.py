@@ -1,6 +1,9 @@
 """Queries over whole tables, on small tables with what the narrower ones leave out."""
 
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 from corpusloom.operators import joins, sampling
 from corpusloom.queries import all_queries
@@ -90,3 +93,34 @@ def test_drawn_siblings_are_even(spark):
     got = [tuple(r) for r in sampling.drawn_siblings(spark.createDataFrame(rows, "i string, g string"), "g", "i", 3, "7").collect()]
     assert len(got) == len(set(got)) == 6002 and all(t != c for t, c in got) and {x for x in got if len(x[0]) == 1} == {("a", "b"), ("b", "a")}
     assert 1850 < len({c for _, c in got}) < 1950  # 1 - e^-3 of them are drawn at least once
+
+
+def batched(rows, budget, most):
+    """(group, id, batch) by one walk; rows: group, id, size."""
+    out, state = set(), {}
+    for g, n, i in sorted(((g, n, i) for g, i, n in rows), key=lambda x: (x[0] or "", x[1], x[2])):
+        total, count, batch = state.get(g, (0, 0, 0))
+        if count and (total + n > budget or count >= most):
+            total, count, batch = 0, 0, batch + 1
+        state[g] = (total + n, count + 1, batch)
+        out.add((g, i, batch))
+    return out
+
+
+def test_duration_batches_of_hot_groups(spark):
+    draw = random.Random(5)
+    rows = [(draw.choice(["hot", "hot", "hot", None, f"g{k % 40}"]), f"i{k:05}", draw.choice([0, 1, 3, 7, 12, draw.randrange(200)])) for k in range(3000)]
+    df = spark.createDataFrame(rows, "g string, i string, n long")
+    for block in (8, 50, 20_000):
+        got = [tuple(r) for r in sampling.duration_batches(df, "g", "i", F.col("n"), 30, 8, block).collect()]
+        assert len(got) == len(rows) and set(got) == batched(rows, 30, 8)
+
+
+def test_sessions_whole(spark, folder):
+    path, clips = folder
+    size = lambda d: round(d * 1000) if d and d == d else 0
+    got = [(r.session_id, r.clip_id, r.batch) for r in all_queries()["duration_batches"](spark, path).collect()]
+    assert len(got) == len(clips) and set(got) == batched([(canonical(x[3]), i, size(x[4])) for i, x in clips.items()], 30_000, 8)
+    near = {r.clip_id: r.sibling for r in all_queries()["nearest_sibling_whole"](spark, path).collect()}
+    fit = {i: [(abs(y[4] - 8), j) for j, y in clips.items() if j != i and canonical(x[3]) and canonical(y[3]) == canonical(x[3]) and y[4] is not None and 2 <= y[4] <= 12] for i, x in clips.items()}
+    assert near == {i: min(f)[1] if f else None for i, f in fit.items()} and None in near.values()
