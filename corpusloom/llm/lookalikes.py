@@ -65,6 +65,19 @@ def composed(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t.translate(PLAIN_LETTERS).replace("i̇", "i")))
 
 
+def into_dominant(token: Column) -> Column:
+    """The token with all letters in the Cyrillic or Greek script that dominates it by number of letters; null where
+    neither does, or a letter of another script has no look-alike in it."""
+    count = lambda script: F.length(F.regexp_replace(token, rf"[^\p{{Is{script}}}]", ""))
+    out = F.lit(None).cast("string")
+    for script, other in (("Greek", "Cyrillic"), ("Cyrillic", "Greek")):
+        own, latin = LOOKALIKES[script]
+        turned = F.translate(F.translate(token, *LOOKALIKES[other]), latin, own)
+        whole = ~turned.rlike(rf"[\p{{L}}&&[^\p{{Is{script}}}]]")
+        out = F.when((count(script) >= F.greatest(count(other), count("Latin"))) & whole, turned).otherwise(out)
+    return out
+
+
 @dataclass(frozen=True)
 class Forms:
     """forms: key, text, form for every row. repairs: the tokens that were repaired, with their repaired form."""
@@ -81,7 +94,10 @@ def consistent_forms(texts: DataFrame, key_col: str = "id", text_col: str = "tex
     dominant one, by number of letters; where that is, or may be by look-alikes, Latin, its foreign letters are
     replaced by the Latin ones they look like, if every one has such a letter and the result occurs in the corpus
     vocabulary: among the tokens written in Latin only, or as the repair of another spelling as well. Tokens wholly of
-    look-alike letters are treated as Latin under the same condition; true words of other scripts stay as they are.
+    look-alike letters are treated as Latin under the same condition. Where that gives no Latin word and the dominant
+    script is Cyrillic or Greek, the token's other letters are replaced by look-alikes of that script, if every one has
+    such a letter and the result is a token of the corpus or the repair of another spelling as well. True words of
+    other scripts stay as they are.
 
     Defined cases: null texts have a null form, empty texts and texts of unseen characters only an empty one.
     Repeated rows stay repeated rows. Other columns are not passed on. The vocabulary is not broadcast.
@@ -95,8 +111,8 @@ def consistent_forms(texts: DataFrame, key_col: str = "id", text_col: str = "tex
     edge = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
     core = lambda c: F.regexp_replace(c, edge, "")
     tokens = lambda df: df.select(F.explode(F.split("form", " ")).alias("token")).select(core(F.col("token")).alias("spelling"))
-    spelled = tokens(strange).where(F.col("spelling").rlike(FOREIGN)).distinct()
-    spelled = cut(spelled.withColumn("repair", F.translate("spelling", OTHER, LATIN)).where(~F.col("repair").rlike(FOREIGN)))
+    seen = cut(tokens(strange).where(F.col("spelling").rlike(FOREIGN)).distinct())
+    spelled = cut(seen.withColumn("repair", F.translate("spelling", OTHER, LATIN)).where(~F.col("repair").rlike(FOREIGN)))
     asked = spelled.groupBy("repair").agg(F.count(F.lit(1)).alias("spellings"))
     few = bounded(asked, BROADCAST)
     words = tokens(rows.where(~unusual(F.col("text"))).select(F.col("text").alias("form")).unionByName(odd.where(~foreign).select("form"))).withColumnRenamed("spelling", "repair")
@@ -105,7 +121,11 @@ def consistent_forms(texts: DataFrame, key_col: str = "id", text_col: str = "tex
     else:
         words = words.distinct().join(asked.select("repair"), "repair", "left_semi")
     known = words.unionByName(asked.where("spellings > 1").select("repair")).distinct()
-    repairs = cut(spelled.join(known, "repair"))
+    latin = cut(spelled.join(known, "repair"))
+    turned = seen.join(latin.select("spelling"), "spelling", "left_anti").withColumn("repair", into_dominant(F.col("spelling"))).where("repair <> spelling")
+    agreed = turned.groupBy("repair").agg(F.count(F.lit(1)).alias("spellings")).where("spellings > 1").select("repair")
+    own = seen.select(F.col("spelling").alias("repair")).join(turned.select("repair"), "repair", "left_semi")
+    repairs = cut(latin.unionByName(turned.join(own.unionByName(agreed).distinct(), "repair")))
     # put the repairs back: position by position, only in the texts that hold foreign letters
     at = cut(strange.select(F.monotonically_increasing_id().alias("row"), "key", "text", "form"))
     each = at.select("row", F.posexplode(F.split("form", " ")).alias("pos", "token")).withColumn("spelling", core(F.col("token")))

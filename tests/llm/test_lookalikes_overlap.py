@@ -30,6 +30,14 @@ def test_repair_without_a_clean_twin(spark):
     assert form["c"] == form["d"] == "Koruca durdu"
 
 
+def test_dominant_script(spark):
+    rows = [("a", "молоко тут"), ("b", "молoко тут"), ("c", "καλος!"), ("d", "καλoς!"), ("e", "дрoва"), ("f", "moloko"), ("g", "хлeбa"), ("h", "хлебa"), ("i", "мοлοко"), ("j", "жfжж")]
+    form = {r.key: r.form for r in consistent_forms(spark.createDataFrame(rows, "id string, text string")).forms.collect()}
+    assert form["a"] == form["b"] == "молоко тут" and form["c"] == form["d"] == "καλος!" and form["i"] == "молоко"
+    assert form["e"] == "дрoва" and form["f"] == "moloko" and form["j"] == "жfжж"  # known nowhere, true Latin, and no look-alike
+    assert form["g"] == form["h"] == "хлеба"  # two spellings agree
+
+
 def test_ligatures(spark):
     same = [("haﬁfçe", "hafifçe"), ("kuﬂa", "kufla"), ("oﬃs", "ofis".replace("f", "ff")), ("eﬀaﬄ", "effaffl"), ("baﬅ", "baſt"), ("poﬆa", "posta"), ("ĳs", "ijs"), ("ǆep", "džep"), ("Ⅳ. bölüm", "IV. bölüm"), ("ﻻ", "لا")]
     apart = ["x²", "x2", "½", "1⁄2", "ª", "a", "№", "No", "½ ﬁ²", "½ fi2"]
