@@ -79,7 +79,7 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p6_report(spark: SparkSession, folder: str) -> DataFrame:
     """These pairs by split and source."""
-    return overlap_report(cross_split_overlap(table(spark, folder, "clip_records")).pairs)
+    return overlap_report(cross_split_overlap(table(spark, folder, "clip_records")))
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,8 +1,11 @@
 import random
 from itertools import combinations
 
+import pytest
+from pyspark.sql import functions as F
+
 from corpusloom.llm.lookalikes import consistent_forms, same_looking_pairs
-from corpusloom.llm.minhash import band_keys
+from corpusloom.llm.minhash import band_keys, may_be_near, profiles
 from corpusloom.llm.overlap import cross_split_overlap, overlap_report
 
 
@@ -79,14 +82,59 @@ def test_overlap_matches_brute_force(spark):
     held = [(i, plain(t)) for i, s, t, _ in rows if i and s in ("dev", "test", "Validation") and t and len(plain(t)) >= 30]
     want = {tuple(sorted((a, b))) for a, x in train for b, y in held if abs(len(x) - len(y)) <= 11 and edits(x, y) * 10 <= max(len(x), len(y))} | {("h1", "h2")}
     assert not got - want and len(want - got) <= 0.02 * len(want)
-    report = overlap_report(out.pairs).collect()
-    assert sum(r.pairs for r in report) == len(got)
+    report = {(r.held_split, r.held_source): (r.pairs, r.held_records, r.train_records) for r in overlap_report(out).collect()}
+    spelled = out.pairs.collect()
+    assert report == {(s, "src"): (len(x), len({r.held_id for r in x}), len({r.train_id for r in x})) for s in ("validation", "test") if (x := [r for r in spelled if r.held_split == s])}
     near = cross_split_overlap(df, least_jaccard=0.8)
     assert near.pairs.count() > 0
-    assert cross_split_overlap(df.limit(0)).pairs.count() == 0
+    none = cross_split_overlap(df.limit(0))
+    assert none.pairs.count() == 0 and overlap_report(none).count() == 0
+
+
+def edited(draw, text, mode):
+    """text with exactly a tenth of its characters edited."""
+    letters, out, count = "abcçdefgğhıijklmnoöprsştuüvyz ", list(text), len(text) // 10
+    spots = [int((j + 0.5) * len(text) / count) for j in range(count)] if mode == "spread" else draw.sample(range(len(text)), count)
+    if mode != "mixed":
+        for p in spots:
+            out[p] = draw.choice([c for c in letters if c != out[p]])
+        return "".join(out)
+    for _ in range(count):
+        p = draw.randrange(len(out))
+        if (kind := draw.randrange(3)) == 0:
+            out[p] = draw.choice(letters)
+        elif kind == 1:
+            del out[p]
+        else:
+            out.insert(p, draw.choice(letters))
+    return "".join(out)
+
+
+@pytest.mark.parametrize("mode", ["spread", "random", "mixed"])
+@pytest.mark.parametrize("length", [30, 60, 100, 150])
+def test_recall_at_the_limit_of_edits(mode, length):
+    draw = random.Random(length)
+    texts = ["".join(draw.choices("abcçdefgğhıijklmnoöprsştuüvyz ", k=length)) for _ in range(1200)]
+    found = [set(), set()]
+    for k, (side, reach) in enumerate(((texts, 0.1), ([edited(draw, t, mode) for t in texts], 0.0))):
+        found[k] = set(zip(*(x.tolist() for x in band_keys(side, reach))))
+    assert len({i for i, _ in found[0] & found[1]}) >= 0.99 * len(texts)
+
+
+def test_profiles_never_rule_out_a_near_text(spark):
+    draw = random.Random(2)
+    texts = ["".join(draw.choices("aeiknrlıdtmy ", k=draw.randrange(30, 700))) for _ in range(300)]
+    near = [edited(draw, t, "mixed") for t in texts]
+    a, b = profiles(texts).tolist(), profiles(near).tolist()
+    rows = [(*x, *y, True) for x, y in zip(a, b)] + [(*x, *y, False) for x, y in zip(a, b[1:])]
+    out = spark.createDataFrame(rows, "a0 long, a1 long, b0 long, b1 long, near boolean")
+    out = out.withColumn("kept", may_be_near((F.col("a0"), F.col("a1")), (F.col("b0"), F.col("b1")), 0.112)).collect()
+    assert all(r.kept for r in out if r.near) and sum(r.kept for r in out if not r.near) < 200
 
 
 def test_band_keys():
-    keys = band_keys(["abc", "", "aynı metin burada", "aynı metin burada", "bambaşka bir şey"], 4, 8, 2)
-    assert keys.shape == (5, 8) and (keys[2] == keys[3]).all() and not (keys[2] == keys[4]).any()
-    assert (band_keys(["aynı metin burada"], 4, 8, 2)[0] == keys[2]).all()
+    at, keys = band_keys(["abc", "", "aynı metin burada", "aynı metin burada", "bambaşka bir şey", "u" * 500], 0.0, 4, 8, 2)
+    keys = keys.reshape(6, 8)
+    assert at.tolist() == [k for k in range(6) for _ in range(8)] and (keys[2] == keys[3]).all() and not (keys[2] == keys[4]).any()
+    at, again = band_keys(["aynı metin burada", "u" * 500], 0.1, 4, 8, 2)
+    assert (again[:8] == keys[2]).all() and set(keys[5].tolist()) < set(again[at == 1].tolist())
