@@ -60,23 +60,43 @@ _BELOW = "list_element(['bir','iki','üç','dört','beş','altı','yedi','sekiz'
 _TEN = "list_element(['on','yirmi','otuz','kırk','elli','altmış','yetmiş','seksen','doksan'], CAST({t} AS BIGINT))"
 
 
-@query(f"""SELECT p_partkey, p_size, array_to_string(list_filter([{_TEN.format(t='p_size // 10')}, {_BELOW.format(u='p_size % 10')}], lambda x: x IS NOT NULL), ' ') AS words FROM part WHERE p_size BETWEEN 1 AND 99""")
+_HUNDRED = "CASE WHEN {h} = 1 THEN 'yüz' WHEN {h} > 1 THEN list_element(['iki','üç','dört','beş','altı','yedi','sekiz','dokuz'], CAST({h} - 1 AS BIGINT)) || ' yüz' END"
+
+
+def _group(x: str) -> str:
+    """The SQL list of the words of a number below 1000."""
+    return f"[{_HUNDRED.format(h=f'({x}) // 100')}, {_TEN.format(t=f'({x}) % 100 // 10')}, {_BELOW.format(u=f'({x}) % 10')}]"
+
+
+@query(f"""SELECT o_orderkey, array_to_string(list_filter(list_concat(CASE WHEN o_orderkey // 1000000 > 0 THEN list_append({_group('o_orderkey // 1000000')}, 'milyon') ELSE [] END,
+  CASE WHEN o_orderkey // 1000 % 1000 = 1 THEN ['bin'] WHEN o_orderkey // 1000 % 1000 > 0 THEN list_append({_group('o_orderkey // 1000 % 1000')}, 'bin') ELSE [] END, {_group('o_orderkey % 1000')}), lambda x: x IS NOT NULL), ' ') AS words FROM orders WHERE o_orderkey > 0""")
 def number_words(spark: SparkSession, folder: str) -> DataFrame:
-    """Sizes in words."""
-    return table(spark, folder, "part", "p_partkey", "p_size").where("p_size between 1 and 99").select("p_partkey", "p_size", spelling.number_words("p_size").alias("words"))
+    """Order keys in words; there is one order with the key 0, which has no group of three digits."""
+    return table(spark, folder, "orders", "o_orderkey").where("o_orderkey > 0").select("o_orderkey", spelling.number_words("o_orderkey").alias("words"))
 
 
-@query("""SELECT clip_id, array_to_string(list_sort(list_filter([
- CASE WHEN regexp_matches(transcript, '(^|[^\\p{L}\\p{N}_])[\\p{L}\\p{N}_.+-]+@[\\p{L}\\p{N}_.-]+\\.\\p{L}{2,}($|[^\\p{L}\\p{N}_])') THEN 'email' END,
- CASE WHEN regexp_matches(transcript, '(?i)(^|[^\\p{L}\\p{N}_])(https?://|www\\.)\\S') THEN 'url' END], lambda x: x IS NOT NULL)), ',') AS categories
- FROM (SELECT DISTINCT clip_id, transcript FROM clip_records WHERE transcript IS NOT NULL)""")
+_EDGE, _END = "(^|[^\\p{L}\\p{N}_])", "($|[^\\p{L}\\p{N}_])"
+_GAP = "([^\\p{L}\\p{N}_\\n]|[^\\p{L}\\p{N}_\\n][^\\n]{0,38}[^\\p{L}\\p{N}_\\n])"
+_CATEGORIES = f"""list_sort(list_filter([
+ CASE WHEN regexp_matches(transcript, '[\\p{{L}}\\p{{N}}_.+-]+@[\\p{{L}}\\p{{N}}_-]+(\\.[\\p{{L}}\\p{{N}}_-]+)*\\.\\p{{L}}{{2,}}{_END}') THEN 'email' END,
+ CASE WHEN regexp_matches(transcript, '(?i)(^|[^A-Za-z0-9_])TR\\s*\\d(\\s*\\d){{23}}($|\\D)') THEN 'iban' END,
+ CASE WHEN regexp_matches(transcript, '(^|\\D)(\\+?90\\s*)?\\(?0?5\\d\\d\\)?([-.\\s]*\\d){{7}}($|\\D)') THEN 'phone_number' END,
+ CASE WHEN regexp_matches(transcript, '(^|\\W)@\\w{{3,30}}($|\\W)') THEN 'social_handle' END,
+ CASE WHEN regexp_matches(translate(transcript, 'Iİı', 'iii'), '(?i){_EDGE}({"|".join(text.PLACE_WORDS).replace("ı", "i")}){_GAP}\\d{{1,4}}{_END}') THEN 'street_address' END,
+ CASE WHEN len(list_filter(list_transform(list_filter(regexp_extract_all(transcript, '\\d+'), lambda x: length(x) = 11 AND x[1] <> '0'), lambda x: list_transform(range(1, 12), lambda i: CAST(x[CAST(i AS INT)] AS INT))),
+   lambda d: (((d[1] + d[3] + d[5] + d[7] + d[9]) * 7 - (d[2] + d[4] + d[6] + d[8])) % 10 + 10) % 10 = d[10] AND (d[1] + d[2] + d[3] + d[4] + d[5] + d[6] + d[7] + d[8] + d[9] + d[10]) % 10 = d[11])) > 0 THEN 'turkish_identity_number' END,
+ CASE WHEN regexp_matches(lower(transcript), '(^|\\W)(https?://|www\\.)\\S') THEN 'url' END], lambda x: x IS NOT NULL))"""
+
+
+@query(f"SELECT clip_id, array_to_string({_CATEGORIES}, ',') AS categories FROM (SELECT DISTINCT clip_id, transcript FROM clip_records WHERE transcript IS NOT NULL)")
 def contact_categories(spark: SparkSession, folder: str) -> DataFrame:
-    """Clips that hold addresses of mail or pages."""
-    wanted = F.filter(text.pii_categories(F.col("transcript")), lambda c: c.isin("email", "url"))
-    return transcripts(spark, folder).select("clip_id", F.array_join(wanted, ",").alias("categories"))
+    """The categories of structured personal information in each clip."""
+    return transcripts(spark, folder).select("clip_id", F.array_join(text.pii_categories(F.col("transcript")), ",").alias("categories"))
 
 
-@query()
+@query(f"""WITH c AS (SELECT clip_id, transcript, normalized_transcript, len({_CATEGORIES}) > 0 AS hit FROM (SELECT DISTINCT clip_id, transcript, normalized_transcript FROM clip_records))
+ SELECT clip_id, CASE WHEN hit IS NULL OR NOT hit THEN transcript END AS transcript, CASE WHEN hit IS NULL OR NOT hit THEN normalized_transcript END AS normalized_transcript,
+  CASE WHEN hit THEN ['pii_detected'] ELSE CAST([] AS VARCHAR[]) END AS reasons FROM c""")
 def structured_pii(spark: SparkSession, folder: str) -> DataFrame:
     """All categories of structured personal information; both texts of such clips are nulled."""
     clips = table(spark, folder, "clip_records", "clip_id", "transcript", "normalized_transcript").distinct()
