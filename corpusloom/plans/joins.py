@@ -11,6 +11,15 @@ def bounded(df: DataFrame, limit: int) -> bool:
     return df.limit(limit + 1).count() <= limit
 
 
+def small(df: DataFrame, limit: int) -> bool:
+    """Whether the values of df take at most limit bytes, strings by their length and 16 bytes a value besides; one
+    aggregate over all of df, which should be written already."""
+    size = F.lit(0).cast("long")
+    for name, kind in df.dtypes:
+        size = size + 16 + (F.coalesce(F.octet_length(name), F.lit(0)) if kind in ("string", "binary") else 0)
+    return (df.agg(F.sum(size)).first()[0] or 0) <= limit
+
+
 def hot_keys(counts: DataFrame, key: str, rows: str, share: float = 0.001, least: int = 20_000) -> DataFrame:
     """The keys that hold at least a share of all rows, and at least `least`: never more than 1/share of them."""
     total = counts.agg(F.sum(rows).alias("__total"))

@@ -69,10 +69,10 @@ def _group(x: str) -> str:
 
 
 @query(f"""SELECT o_orderkey, array_to_string(list_filter(list_concat(CASE WHEN o_orderkey // 1000000 > 0 THEN list_append({_group('o_orderkey // 1000000')}, 'milyon') ELSE [] END,
-  CASE WHEN o_orderkey // 1000 % 1000 = 1 THEN ['bin'] WHEN o_orderkey // 1000 % 1000 > 0 THEN list_append({_group('o_orderkey // 1000 % 1000')}, 'bin') ELSE [] END, {_group('o_orderkey % 1000')}), lambda x: x IS NOT NULL), ' ') AS words FROM orders WHERE o_orderkey > 0""")
+  CASE WHEN o_orderkey // 1000 % 1000 = 1 THEN ['bin'] WHEN o_orderkey // 1000 % 1000 > 0 THEN list_append({_group('o_orderkey // 1000 % 1000')}, 'bin') ELSE [] END, {_group('o_orderkey % 1000')}), lambda x: x IS NOT NULL), ' ') || CASE WHEN o_orderkey = 0 THEN 'sıfır' ELSE '' END AS words FROM orders""")
 def number_words(spark: SparkSession, folder: str) -> DataFrame:
-    """Order keys in words; there is one order with the key 0, which has no group of three digits."""
-    return table(spark, folder, "orders", "o_orderkey").where("o_orderkey > 0").select("o_orderkey", spelling.number_words("o_orderkey").alias("words"))
+    """Order keys in words."""
+    return table(spark, folder, "orders", "o_orderkey").select("o_orderkey", spelling.number_words("o_orderkey").alias("words"))
 
 
 _EDGE, _END = "(^|[^\\p{L}\\p{N}_])", "($|[^\\p{L}\\p{N}_])"
