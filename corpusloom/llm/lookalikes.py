@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.functions.identity import ASCII, FULL_WIDTH
-from corpusloom.plans.joins import bounded, hot_keys, salted_join
+from corpusloom.functions.text import turkish_lower
+from corpusloom.plans.joins import hot_keys, salted_join, small
 from corpusloom.session import cut
 
 # Letters of other scripts, and the Latin letters that they look like.
@@ -19,6 +20,7 @@ LOOKALIKES = {
     "Cyrillic": ("АВЕЅІЈКМНОРСТУХаеѕіјорсухһԁԛԝ", "ABESIJKMHOPCTYXaesijopcyxhdqw"),
     "Greek": ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοανυιρ", "ABEZHIKMNOPTYXoavuıp"),
 }
+SCRIPTS = ("Latin", *LOOKALIKES)
 OTHER = "".join(a for a, _ in LOOKALIKES.values())
 LATIN = "".join(b for _, b in LOOKALIKES.values())
 # Characters that are not seen, as a class of Java's regular expressions.
@@ -35,7 +37,8 @@ DRAWN_ALIKE = (
 # What a text without any such character is made of, as a class of Java's regular expressions.
 USUAL = r"\x20-\x7E\u00A1-\u00AC\u00AE-\u0131\u0134-\u013E\u0141-\u0148\u014A-\u01C3\u01CD-\u01F0\u01F4-\u024F\u2013\u2014\u2018-\u201D\u2026\u20AC\u20BA"
 FOREIGN = r"[\p{IsCyrillic}\p{IsGreek}]"
-BROADCAST = 200_000
+#: Bytes of a side that is sent to every task.
+BROADCAST = 16_000_000
 
 
 def _plain_letters() -> dict[int, str]:
@@ -65,22 +68,40 @@ def composed(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t.translate(PLAIN_LETTERS).replace("i̇", "i")))
 
 
-def into_dominant(token: Column) -> Column:
-    """The token with all letters in the Cyrillic or Greek script that dominates it by number of letters; null where
-    neither does, or a letter of another script has no look-alike in it."""
-    count = lambda script: F.length(F.regexp_replace(token, rf"[^\p{{Is{script}}}]", ""))
+def letters_of(script: str, text: Column) -> Column:
+    """How many letters of a script a text has."""
+    return F.length(F.regexp_replace(text, rf"[^\p{{Is{script}}}]", ""))
+
+
+def dominant(counts: Column, preferred: Column | None = None) -> Column:
+    """The script with most letters in a struct of counts; in a tie the preferred one, or else Latin."""
+    most = F.greatest(*[counts[s] for s in SCRIPTS])
+    first = F.coalesce(*[F.when(counts[s] == most, F.lit(s)) for s in SCRIPTS])
+    if preferred is None:
+        return first
+    return F.coalesce(*[F.when((preferred == s) & (counts[s] == most), F.lit(s)) for s in SCRIPTS], first)
+
+
+def into_script(token: Column, script: Column) -> Column:
+    """The token with look-alikes of the other scripts replaced by letters of this one; null where one has none, or
+    where nothing changes."""
     out = F.lit(None).cast("string")
-    for script, other in (("Greek", "Cyrillic"), ("Cyrillic", "Greek")):
-        own, latin = LOOKALIKES[script]
-        turned = F.translate(F.translate(token, *LOOKALIKES[other]), latin, own)
-        whole = ~turned.rlike(rf"[\p{{L}}&&[^\p{{Is{script}}}]]")
-        out = F.when((count(script) >= F.greatest(count(other), count("Latin"))) & whole, turned).otherwise(out)
+    for name in SCRIPTS:
+        turned = token
+        for other, (own, latin) in LOOKALIKES.items():  # by way of Latin
+            if other != name:
+                turned = F.translate(turned, own, latin)
+        if name != "Latin":
+            turned = F.translate(turned, LOOKALIKES[name][1], LOOKALIKES[name][0])
+        whole = ~turned.rlike(rf"[\p{{L}}&&[^\p{{Is{name}}}]]")
+        out = F.when((script == name) & whole & (turned != token), turned).otherwise(out)
     return out
 
 
 @dataclass(frozen=True)
 class Forms:
-    """forms: key, text, form for every row. repairs: the tokens that were repaired, with their repaired form."""
+    """forms: key, text, form for every row. repairs: the tokens that were repaired, with the script of their text and
+    their repaired form."""
 
     forms: DataFrame
     repairs: DataFrame
@@ -90,46 +111,46 @@ def consistent_forms(texts: DataFrame, key_col: str = "id", text_col: str = "tex
     """The consistent form of each text.
 
     Method: script-aware repair. Width, spaces, ligatures and unseen characters are unified and marks composed; case,
-    diacritics, dotless i, punctuation and quotes stay as they are. A token with letters of several scripts has a
-    dominant one, by number of letters; where that is, or may be by look-alikes, Latin, its foreign letters are
-    replaced by the Latin ones they look like, if every one has such a letter and the result occurs in the corpus
-    vocabulary: among the tokens written in Latin only, or as the repair of another spelling as well. Tokens wholly of
-    look-alike letters are treated as Latin under the same condition. Where that gives no Latin word and the dominant
-    script is Cyrillic or Greek, the token's other letters are replaced by look-alikes of that script, if every one has
-    such a letter and the result is a token of the corpus or the repair of another spelling as well. True words of
-    other scripts stay as they are.
+    diacritics, dotless i, punctuation and quotes stay as they are. In every token with Cyrillic or Greek letters the
+    letters of each script are counted. A token of several scripts has the dominant one, in a tie that of its text; its
+    other letters are replaced by look-alikes of that script, if each has one and the result is a word of the corpus,
+    in any case, written in that script alone. Where it is none, the same is tried with the dominant script of the
+    text. A token of one script is touched only where it could be of the text's dominant script letter by letter, such
+    as a Cyrillic "o" in a Latin text, under the same condition; so "cop" spelled in Cyrillic stays in a Cyrillic
+    sentence, and true words of other scripts stay everywhere.
 
     Defined cases: null texts have a null form, empty texts and texts of unseen characters only an empty one.
-    Repeated rows stay repeated rows. Other columns are not passed on. The vocabulary is not broadcast.
+    Repeated rows stay repeated rows. Other columns are not passed on. The words that are asked for are broadcast where
+    they take at most BROADCAST bytes, which is checked, and joined otherwise.
     """
     rows = texts.select(F.col(key_col).alias("key"), F.col(text_col).alias("text"))
     usual = rows.where("text is null").unionByName(rows.where(~unusual(F.col("text")))).withColumn("form", F.col("text"))
     odd = rows.where(unusual(F.col("text"))).withColumn("form", plain_form(F.col("text")))
     odd = cut(odd.withColumn("form", composed("form")))
     foreign = F.col("form").rlike(FOREIGN)
-    strange = odd.where(foreign)
+    counts = lambda c: F.struct(*[letters_of(s, F.col(c)).alias(s) for s in SCRIPTS])
+    strange = odd.where(foreign).withColumn("script", dominant(counts("form")))
     edge = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
     core = lambda c: F.regexp_replace(c, edge, "")
-    tokens = lambda df: df.select(F.explode(F.split("form", " ")).alias("token")).select(core(F.col("token")).alias("spelling"))
-    seen = cut(tokens(strange).where(F.col("spelling").rlike(FOREIGN)).distinct())
-    spelled = cut(seen.withColumn("repair", F.translate("spelling", OTHER, LATIN)).where(~F.col("repair").rlike(FOREIGN)))
-    asked = spelled.groupBy("repair").agg(F.count(F.lit(1)).alias("spellings"))
-    few = bounded(asked, BROADCAST)
-    words = tokens(rows.where(~unusual(F.col("text"))).select(F.col("text").alias("form")).unionByName(odd.where(~foreign).select("form"))).withColumnRenamed("spelling", "repair")
-    if few:
-        words = words.join(F.broadcast(asked.select("repair")), "repair", "left_semi").distinct()
-    else:
-        words = words.distinct().join(asked.select("repair"), "repair", "left_semi")
-    known = words.unionByName(asked.where("spellings > 1").select("repair")).distinct()
-    latin = cut(spelled.join(known, "repair"))
-    turned = seen.join(latin.select("spelling"), "spelling", "left_anti").withColumn("repair", into_dominant(F.col("spelling"))).where("repair <> spelling")
-    agreed = turned.groupBy("repair").agg(F.count(F.lit(1)).alias("spellings")).where("spellings > 1").select("repair")
-    own = seen.select(F.col("spelling").alias("repair")).join(turned.select("repair"), "repair", "left_semi")
-    repairs = cut(latin.unionByName(turned.join(own.unionByName(agreed).distinct(), "repair")))
+    tokens = lambda df, *keep: df.select(*keep, F.explode(F.split("form", " ")).alias("token")).select(*keep, core(F.col("token")).alias("spelling"))
+    seen = cut(tokens(strange, "script").where(F.col("spelling").rlike(FOREIGN)).distinct())
+    own = dominant(F.col("n"), F.col("script"))
+    tried = seen.withColumn("n", counts("spelling")).select("spelling", "script", F.explode(F.array(F.struct(F.lit(0).alias("turn"), own.alias("to")), F.struct(F.lit(1).alias("turn"), F.col("script").alias("to")))).alias("x"))
+    tried = tried.select("spelling", "script", "x.turn", into_script(F.col("spelling"), F.col("x.to")).alias("repair")).where("repair is not null").withColumn("word", turkish_lower(F.col("repair")))
+    tried = cut(tried)
+    asked = cut(tried.select("word").distinct())
+    # words of one script: of texts without foreign letters, and the tokens of others that are not mixed
+    plain = tokens(rows.where(~unusual(F.col("text"))).select(F.col("text").alias("form")).unionByName(odd.where(~foreign).select("form")))
+    pure = tokens(strange)
+    for one in SCRIPTS:
+        pure = pure.where(~(F.col("spelling").rlike(rf"\p{{Is{one}}}") & F.col("spelling").rlike(rf"[\p{{L}}&&[^\p{{Is{one}}}]]")))
+    words = plain.unionByName(pure).select(turkish_lower(F.col("spelling")).alias("word"))
+    known = words.join(F.broadcast(asked), "word", "left_semi").distinct() if small(asked, BROADCAST) else words.distinct().join(asked, "word", "left_semi")
+    repairs = cut(tried.join(known, "word").groupBy("spelling", "script").agg(F.min_by("repair", "turn").alias("repair")))
     # put the repairs back: position by position, only in the texts that hold foreign letters
-    at = cut(strange.select(F.monotonically_increasing_id().alias("row"), "key", "text", "form"))
-    each = at.select("row", F.posexplode(F.split("form", " ")).alias("pos", "token")).withColumn("spelling", core(F.col("token")))
-    fixed = each.join(repairs, "spelling", "left").withColumn("token", F.when(F.col("repair").isNotNull(), F.expr("replace(token, spelling, repair)")).otherwise(F.col("token")))
+    at = cut(strange.select(F.monotonically_increasing_id().alias("row"), "key", "text", "form", "script"))
+    each = at.select("row", "script", F.posexplode(F.split("form", " ")).alias("pos", "token")).withColumn("spelling", core(F.col("token")))
+    fixed = each.join(repairs, ["spelling", "script"], "left").withColumn("token", F.when(F.col("repair").isNotNull(), F.expr("replace(token, spelling, repair)")).otherwise(F.col("token")))
     joined = fixed.groupBy("row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]), " ").alias("repaired"))
     done = at.join(joined, "row").select("key", "text", F.col("repaired").alias("form"))
     return Forms(usual.unionByName(odd.where(~foreign)).unionByName(done), repairs)
@@ -139,17 +160,22 @@ def same_looking_pairs(forms: DataFrame) -> DataFrame:
     """(id_a, id_b) of all rows of forms (key, text, form) with one form but different characters, the smaller first.
 
     Rows without key, text or with an empty form pair with none. Of two different texts of one form at least one
-    differs from it, so only the forms of such texts are looked for: by broadcast up to BROADCAST of them, otherwise by
-    a join. Within a form every pair of different spellings is in the result, as it must be; hot forms are salted.
+    differs from it, so only the forms of such texts are looked for: by broadcast of at most BROADCAST bytes of their
+    hashes, otherwise by a join. Within a form the different texts are paired, and only these pairs are spelled out to
+    rows, salted for texts that many rows have: what is made is what is asked for, every pair of rows whose texts differ.
     """
-    rows = forms.where("key is not null and text is not null and form <> ''")
-    changed = cut(rows.where("form <> text").select("form").distinct())
-    if bounded(changed, BROADCAST):
-        near = rows.join(F.broadcast(changed), "form", "left_semi")
-    else:
-        near = rows.join(changed, "form", "left_semi")
-    near = cut(near.dropDuplicates(["key", "text"]))
-    hot = hot_keys(near.groupBy("form").agg(F.count(F.lit(1)).alias("n")), "form", "n", least=1000)
-    a = near.select("form", F.col("key").alias("id_a"), F.col("text").alias("text_a"))
-    b = near.select("form", F.col("key").alias("id_b"), F.col("text").alias("text_b"))
-    return salted_join(a, b, "form", hot, F.xxhash64("id_a")).where("id_a < id_b and text_a <> text_b").select("id_a", "id_b").distinct()
+    key = lambda c: F.xxhash64(c)
+    rows = forms.where("key is not null and text is not null and form <> ''").withColumn("h", key("form"))
+    changed = cut(rows.where("form <> text").select("h").distinct())
+    few = small(changed, BROADCAST)
+    near = rows.join(F.broadcast(changed) if few else changed, "h", "left_semi")
+    near = cut(near.select("key", F.unhex(F.md5("form")).alias("form"), F.unhex(F.md5("text")).alias("text")).distinct())
+    classes = near.groupBy("form", "text").agg(F.count(F.lit(1)).alias("n"))
+    a = classes.select("form", F.col("text").alias("a"))
+    b = classes.select("form", F.col("text").alias("b"))
+    links = a.join(b, "form").where("a <> b")
+    hot = hot_keys(classes, "text", "n", least=1000)
+    left = salted_join(near.select("key", F.col("text").alias("a")), links.select("a", "b"), "a", hot.select(F.col("text").alias("a")), F.xxhash64("key"))
+    right = near.select(F.col("key").alias("other"), F.col("text").alias("b"))
+    pairs = salted_join(left, right, "b", hot.select(F.col("text").alias("b")), F.xxhash64("key"))
+    return pairs.where("key < other").select(F.col("key").alias("id_a"), F.col("other").alias("id_b")).distinct()

@@ -26,19 +26,31 @@ def test_forms_and_pairs(spark):
     assert same_looking_pairs(consistent_forms(df.limit(0)).forms).count() == 0
 
 
-def test_repair_without_a_clean_twin(spark):
-    df = spark.createDataFrame([("a", "Vаzıvü geldi"), ("b", "Vаzıvüѕ oldu"), ("c", "Kоruca durdu"), ("d", "Kοruca durdu")], "id string, text string")
-    form = {r.key: r.form for r in consistent_forms(df).forms.collect()}
-    assert form["a"] == "Vаzıvü geldi"  # nowhere written in Latin, and only one spelling
-    assert form["c"] == form["d"] == "Koruca durdu"
+def test_repairs_are_words_of_the_corpus(spark):
+    rows = [("a", "Vаzıvü geldi"), ("b", "Vаzıvüѕ oldu"), ("c", "Kоruca durdu"), ("d", "Kοruca durdu"), ("e", "KORUCA"), ("f", "аlt о kаdar"), ("g", "o Alt, kadar")]
+    form = {r.key: r.form for r in consistent_forms(spark.createDataFrame(rows, "id string, text string")).forms.collect()}
+    assert form["a"] == "Vаzıvü geldi"  # nowhere written in Latin
+    assert form["c"] == form["d"] == "Koruca durdu"  # known in another case
+    assert form["f"] == "alt o kadar"  # a wholly Cyrillic letter in a Latin text
 
 
 def test_dominant_script(spark):
-    rows = [("a", "молоко тут"), ("b", "молoко тут"), ("c", "καλος!"), ("d", "καλoς!"), ("e", "дрoва"), ("f", "moloko"), ("g", "хлeбa"), ("h", "хлебa"), ("i", "мοлοко"), ("j", "жfжж")]
+    rows = [("a", "молоко тут"), ("b", "молoко тут"), ("c", "καλος!"), ("d", "καλoς!"), ("e", "дрoва"), ("f", "moloko"), ("i", "мοлοко"), ("j", "жfжж")]
     form = {r.key: r.form for r in consistent_forms(spark.createDataFrame(rows, "id string, text string")).forms.collect()}
     assert form["a"] == form["b"] == "молоко тут" and form["c"] == form["d"] == "καλος!" and form["i"] == "молоко"
     assert form["e"] == "дрoва" and form["f"] == "moloko" and form["j"] == "жfжж"  # known nowhere, true Latin, and no look-alike
-    assert form["g"] == form["h"] == "хлеба"  # two spellings agree
+
+
+def test_true_words_of_other_scripts_stay(spark):
+    rows = [("a", "Где сор и сок рос"), ("b", "cop, poc ve cok"), ("c", "Рост сна, сон и нос."), ("d", "το νερο και ο τονος"), ("e", "o, to, nepo, tovoc"), ("f", "«сок» dedi"), ("g", "Toc poc ce ho, coh")]
+    form = {r.key: r.form for r in consistent_forms(spark.createDataFrame(rows, "id string, text string")).forms.collect()}
+    assert all(form[k] == t for k, t in rows if k in "abcdeg")
+
+
+def test_hot_forms_pair_by_texts_not_by_rows(spark):
+    rows = [(f"k{n:05}", "tek cümle") for n in range(3000)] + [("z1", "tek\u200b cümle"), ("z2", "tek\u200b cümle")]
+    forms = consistent_forms(spark.createDataFrame(rows, "id string, text string")).forms
+    assert same_looking_pairs(forms).count() == 6000
 
 
 def test_ligatures(spark):
