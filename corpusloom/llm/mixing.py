@@ -49,6 +49,13 @@ def bisect_exponent(good, steps: int = 60) -> float:
     return low
 
 
+def beyond_limits(sizes: list[float], targets: list[float], repeats: list[int], budget: float, exponent: float) -> list[bool]:
+    """Which sources would need more than their repetition limits allow at this exponent. At 1 the targets are taken as
+    they are, so a source without any records is beyond its limit; below, it has no weight."""
+    w = targets if exponent >= 1 else tempered(sizes, targets, exponent)
+    return [x * budget > s * r for x, s, r in zip(w, sizes, repeats)]
+
+
 def plan_weights(
     sizes: list[float], targets: list[float], repeats: list[int], budget: float | None, least_entropy: float | None = None
 ) -> tuple[float, float, list[float]]:
@@ -117,7 +124,8 @@ def mix_sources(
     plan_weights. The weights are realised as block permutations: each source is one fixed permutation by a seeded
     hash, cut into blocks; whole passes over it come first, then the blocks that fit the rest of its budget, and the
     block in which the budget ends is taken record by record. budget: the total size of the mix; "all": the size of
-    all records; None: the largest with which the target shares are exact.
+    all records; "targets": the size of all records of target sources; None: the largest with which the target shares
+    are exact. short: the sources that stop the bisection at the target shares, as they would need more than their limit.
 
     Defined cases: whole-row duplicates (equal id, source and size) count once. Source ids are compared in canonical
     form; records of other or unknown sources are not used but count in the total size. Unknown sizes count as 0, and
@@ -145,14 +153,15 @@ def mix_sources(
     had = hist.groupBy("g").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
     per = wanted.join(had, "g", "left").select("g", "source", "t", "r", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("s", F.lit(0)).alias("s")).orderBy("g").collect()
     sizes, shares, repeats = [float(p.s) for p in per], [p.t for p in per], [p.r for p in per]
-    asked = None if budget is None else float(total) if budget == "all" else float(budget) * 1e6
+    asked = None if budget is None else float(total) if budget == "all" else sum(sizes) if budget == "targets" else float(budget) * 1e6
     exponent, given, amounts = plan_weights(sizes, shares, repeats, asked, least_entropy)
+    stops = beyond_limits(sizes, shares, repeats, float(total) if asked is None else asked, 1.0)
     plan = []
-    for p, amount in zip(per, amounts):
+    for p, amount, stop in zip(per, amounts, stops):
         passes = min(p.r, int(amount * (1 + 1e-12) // p.s)) if p.s else 0
         rest = int(round(amount)) - passes * p.s if p.s and passes < p.r else 0
-        plan.append(Row(g=p.g, source=p.source, target_share=p.t, max_repeats=p.r, records=p.n, micros=p.s, demand=p.t * (asked if asked is not None else total), passes=passes, rest=max(0, rest), exponent=exponent))
-    schema = T.StructType([T.StructField(n, t) for n, t in (("g", T.StringType()), ("source", T.StringType()), ("target_share", T.DoubleType()), ("max_repeats", T.IntegerType()), ("records", T.LongType()), ("micros", T.LongType()), ("demand", T.DoubleType()), ("passes", T.IntegerType()), ("rest", T.LongType()), ("exponent", T.DoubleType()))])
+        plan.append(Row(g=p.g, source=p.source, target_share=p.t, max_repeats=p.r, records=p.n, micros=p.s, demand=p.t * (asked if asked is not None else total), passes=passes, rest=max(0, rest), exponent=exponent, short=stop))
+    schema = T.StructType([T.StructField(n, t) for n, t in (("g", T.StringType()), ("source", T.StringType()), ("target_share", T.DoubleType()), ("max_repeats", T.IntegerType()), ("records", T.LongType()), ("micros", T.LongType()), ("demand", T.DoubleType()), ("passes", T.IntegerType()), ("rest", T.LongType()), ("exponent", T.DoubleType()), ("short", T.BooleanType()))])
     plans = spark.createDataFrame(plan, schema)
     part = F.broadcast(plans.where("rest > 0").select("g", F.lit(2**62).alias("cap_n"), F.col("rest").alias("cap_s")))
     cuts = first_cut(hist.join(part, "g"), F.col("cap_n"), F.col("cap_s"))
@@ -168,8 +177,7 @@ def mix_sources(
         .select(
             F.col("source").alias(source_col), "target_share", "max_repeats", "records", (F.col("micros") / 1e6).alias("seconds"),
             (F.col("demand") / 1e6).alias("demand_seconds"),
-            (F.col("micros") * F.col("max_repeats") < F.col("demand")).alias("short"),
-            "exponent", F.coalesce("chosen", F.lit(0)).alias("records_used"), F.coalesce("most", F.lit(0)).alias("most_uses"),
+            "short", "exponent", F.coalesce("chosen", F.lit(0)).alias("records_used"), F.coalesce("most", F.lit(0)).alias("most_uses"),
             (F.coalesce("used", F.lit(0)) / 1e6).alias("mix_seconds"),
             F.when(F.col("mix") > 0, F.coalesce("used", F.lit(0)) / F.col("mix")).otherwise(0.0).alias("actual_share"),
         )

@@ -7,6 +7,8 @@ falls into. Only that bin's rows go on to the next level, and only what is left
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,16 +18,27 @@ from corpusloom.session import cut
 BINS = 1024
 
 
+def quality_rank(quality: Column) -> Column:
+    """A 64-bit number that orders as the qualities do, best first: the bits of the double, with those of negative ones
+    turned round, complemented. Null and NaN come last, after every number; 0.0 and -0.0 are equal."""
+    bits = F.java_method(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), quality + F.lit(0.0)).cast("long")
+    ordered = F.when(bits < 0, bits.bitwiseXOR(F.lit(2**63 - 1))).otherwise(bits)
+    return F.when(quality.isNull() | F.isnan(quality), F.lit(2**63 - 1)).otherwise(F.bitwise_not(ordered))
+
+
 def quality_levels(quality: Column, tie: Column) -> list[Column]:
-    """Bins that order by quality, best first, in steps of 2**-20, then by the 64-bit hash `tie`.
+    """Bins that order by quality, best first and exactly, then by the 64-bit hash `tie`.
 
-    Qualities are clamped to 0..1; null and NaN count as the worst. Qualities less than a step apart are ties.
+    The first level is the arc tangent of the quality in BINS steps, which parts usual scores well on any scale; the next
+    ones are the bits of quality_rank, ten at a time, so that qualities that differ at all are told apart in the end.
     """
-    known = F.when(quality.isNull() | F.isnan(quality), F.lit(-1.0)).otherwise(F.least(F.greatest(quality, F.lit(0.0)), F.lit(1.0)))
-    steps = F.lit(BINS * BINS) - F.floor(known * (BINS * BINS)).cast("long")  # 0 is best; unknown is beyond all
+    arc = F.lit(BINS) - F.floor((F.atan(quality) / math.pi + 0.5) * BINS).cast("int")
+    rank = quality_rank(quality).bitwiseXOR(F.lit(-(2**63)))
+    bits = [F.shiftrightunsigned(rank, shift).bitwiseAND(F.lit(BINS - 1)).cast("int") for shift in (54, 44, 34, 24, 14, 4)]
     return [
-        F.floor(steps / BINS).cast("int"),
-        F.pmod(steps, F.lit(BINS)).cast("int"),
+        F.when(quality.isNull() | F.isnan(quality), F.lit(BINS + 1)).otherwise(arc),
+        *bits,
+        rank.bitwiseAND(F.lit(15)).cast("int"),
         *hash_levels(tie),
     ]
 

@@ -45,6 +45,16 @@ def p2_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mix_sources(table(spark, folder, "clip_records"), table(spark, folder, "mixture_targets")).sources
 
 
+def p2_tempered(spark: SparkSession, folder: str) -> DataFrame:
+    """A mix as large as all clips of these sources: the exponent is bisected to the limits on repetition."""
+    return mix_sources(table(spark, folder, "clip_records"), table(spark, folder, "mixture_targets"), budget="targets").records
+
+
+def p2_tempered_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Target and actual shares of that mix."""
+    return mix_sources(table(spark, folder, "clip_records"), table(spark, folder, "mixture_targets"), budget="targets").sources
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Clips of groups with at least two speakers."""
     found = related_groups(table(spark, folder, "clip_records")).records
@@ -131,7 +141,7 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_capped, p2_found, p2_mix, p2_shares, p3_found, p3_clean, p4_found, p4_splits, p5_found, p5_forms,
+        p1_found, p1_capped, p2_found, p2_mix, p2_shares, p2_tempered, p2_tempered_shares, p3_found, p3_clean, p4_found, p4_splits, p5_found, p5_forms,
         p6_found, p6_report, p7_pack, p7_report, p8_found, p8_leaks, p9_found, p9_shares,
     )
 }

@@ -16,6 +16,8 @@ from corpusloom.session import cut
 
 PROPORTIONS = {"train": 0.9, "validation": 0.05, "test": 0.05}
 SHARD = 20_000
+#: Shards whose bins one task joins.
+FAN = 64
 #: Bins that are dealt to the splits: shares are met to about half a bin.
 BINS = 400
 
@@ -92,12 +94,12 @@ def balance_splits(groups: DataFrame, proportions: dict[str, float] | None = Non
     """(group, weight, split): whole groups in splits of the given proportions of the total weight.
 
     Method: largest-differencing balance. Groups are hashed to shards of about `shard` groups; each shard is balanced
-    into `bins` bins by differencing, in a task of its own; bins of equal rank are then joined across shards, lightest
-    with heaviest; whole bins go to the splits by proportion, the heaviest to the split that lacks most. Groups
-    heavier than a bin should be are bins of their own.
+    into `bins` bins by differencing, in a task of its own; the bins of FAN shards at a time are then joined to one set,
+    lightest with heaviest, in tasks again, until one set is left; whole bins go to the splits by proportion, the
+    heaviest to the split that lacks most. Groups heavier than a bin should be are bins of their own.
 
     Defined cases: null weights count as 0, equal names as one group with the sum of their weights; proportions are
-    normalised; an empty table gives an empty result. Collected are only `bins` sums a shard.
+    normalised; an empty table gives an empty result. Collected are at most 2 * `bins` sums, whatever the number of groups.
     """
     want = proportions or PROPORTIONS
     whole = sum(want.values())
@@ -120,29 +122,44 @@ def balance_splits(groups: DataFrame, proportions: dict[str, float] | None = Non
 
     rest = base.where(F.col("weight") <= fair).withColumn("shard", F.pmod(F.xxhash64("group_id"), F.lit(shards)))
     placed = cut(rest.groupBy("shard").applyInPandas(one_shard, "group_id string, weight long, shard long, bin int"))
-    sums = placed.groupBy("shard", "bin").agg(F.sum("weight").alias("weight")).collect()
-    by_shard: dict[int, list] = {}
-    for r in sums:
-        by_shard.setdefault(r.shard, []).append((r.weight, r.bin))
-    merged = [(0, []) for _ in range(bins)]
-    for s in sorted(by_shard):  # lightest of what is there with the heaviest of the shard
-        own = sorted(by_shard[s], key=lambda t: (-t[0], t[1]))
-        merged.sort(key=lambda t: t[0])
-        merged = [(a + w, m + [(s, b)]) for (a, m), (w, b) in zip(merged, own)] + merged[len(own) :]
-    items = [(w, None, m) for w, m in merged if m] + [(g.weight, g.group_id, None) for g in giants.collect()]
-    items.sort(key=lambda t: (-t[0], str(t[1])))
+    level, steps = placed.groupBy("shard", "bin").agg(F.sum("weight").alias("weight")), []
+    while shards > 1:  # trees of tasks: FAN shards give one set of bins, until one set is left
+        step = cut(level.withColumn("up", F.floor(F.col("shard") / FAN).cast("long")).groupBy("up").applyInPandas(_merger(bins), "shard long, bin int, weight long, up long, slot int"))
+        steps.append(step)
+        level, shards = step.groupBy(F.col("up").alias("shard"), F.col("slot").alias("bin")).agg(F.sum("weight").alias("weight")), -(-shards // FAN)
+    # at most `bins` sums and fewer than `bins` giants
+    items = [(r.weight, None, r.bin) for r in level.collect()] + [(g.weight, g.group_id, None) for g in giants.collect()]
+    items.sort(key=lambda t: (-t[0], str(t[1]), t[2] or 0))
     have = dict.fromkeys(want, 0.0)
     rows, big = [], []
-    for w, name, members in items:
+    for w, name, slot in items:
         to = max(want, key=lambda k: (want[k] * size.w - have[k], want[k]))
         have[to] += w
-        if members is None:
+        if slot is None:
             big.append((name, to))
         else:
-            rows += [(s, b, to) for s, b in members]
-    where = spark.createDataFrame(rows, "shard long, bin int, split string")
+            rows.append((0, slot, to))
+    where = F.broadcast(spark.createDataFrame(rows, "shard long, bin int, split string"))
     heavy = spark.createDataFrame(big, "group_id string, split string")
-    return placed.join(F.broadcast(where), ["shard", "bin"]).select("group_id", "weight", "split").unionByName(giants.join(F.broadcast(heavy), giants["group_id"].eqNullSafe(heavy["group_id"])).select(giants["group_id"], "weight", "split"))
+    for step in reversed(steps):
+        where = step.join(where.select(F.col("shard").alias("up"), F.col("bin").alias("slot"), "split"), ["up", "slot"]).select("shard", "bin", "split")
+    return placed.join(where, ["shard", "bin"]).select("group_id", "weight", "split").unionByName(giants.join(F.broadcast(heavy), giants["group_id"].eqNullSafe(heavy["group_id"])).select(giants["group_id"], "weight", "split"))
+
+
+def _merger(bins: int):
+    """A function that joins the bins of several shards to one set, the lightest so far with the heaviest of the next."""
+
+    def merge(frame: pd.DataFrame) -> pd.DataFrame:
+        total, slots, parts = [0] * bins, list(range(bins)), []
+        for _, own in frame.sort_values(["shard", "weight", "bin"], ascending=[True, False, True]).groupby("shard"):
+            slots.sort(key=lambda k: (total[k], k))
+            taken = slots[: len(own)]
+            for k, w in zip(taken, own["weight"].tolist()):
+                total[k] += w
+            parts.append(own.assign(slot=taken))
+        return pd.concat(parts)[["shard", "bin", "weight", "up", "slot"]]
+
+    return merge
 
 
 def assign_splits(records: DataFrame, proportions: dict[str, float] | None = None, id_col: str = "clip_id", speaker_col: str = "speaker_id", session_col: str = "session_id", bins: int = BINS) -> DataFrame:

@@ -25,6 +25,20 @@ def some(n=400, seed=3):
     return rows + rows[:20]
 
 
+@pytest.mark.parametrize("scale,limit", [(1.0, 100_000), (1e15, 100_000), (-3.0, 1)])
+def test_the_best_are_kept_on_any_scale(spark, scale, limit):
+    draw = random.Random(1)
+    values = [scale * k for k in range(1, 21)] + [None, float("nan"), 0.0, -0.0, float("inf"), float("-inf")]
+    draw.shuffle(values)
+    rows = [(f"c{k:02}", "a", 1.0, q) for k, q in enumerate(values)]
+    for cap in (5, 24) if limit > 1 else (5,):
+        kept = {r.clip_id for r in cap_contributors(clips(spark, rows), max_count=cap, max_size=None, rank_limit=limit).kept.collect()}
+        known = lambda q: float("-inf") if q is None or q != q else q
+        order = sorted(rows, key=lambda r: (not (r[3] is None or r[3] != r[3]), known(r[3])), reverse=True)
+        ties = {r[0] for r in rows if r[3] == 0.0} | {r[0] for r in rows if r[3] is None or r[3] != r[3]}
+        assert len(kept) == cap and {r[0] for r in order[:cap]} - ties == kept - ties
+
+
 @pytest.mark.parametrize("limit", [2, 100_000])
 def test_caps_hold_and_the_best_stay(spark, limit):
     rows = some()
@@ -98,6 +112,14 @@ def test_mix(spark):
     total = sum({r[0]: r[2] for r in rows if r[2] and r[2] == r[2]}.values())
     own = {s: sum({r[0]: r[2] for r in rows if r[1] and r[1].lower().replace(" ", "-").replace("_", "-") == s and r[2] and r[2] == r[2]}.values()) for s in ("src-a", "src-b", "src-c")}
     assert short == {s for s, t, m in (("src-a", 0.5, 1), ("src-b", 0.4, 3), ("src-c", 0.1, 2)) if own[s] * m < t * total}
+    warm = mix_sources(df, targets, budget="targets")
+    shares = {r.source_dataset: r for r in warm.sources.collect()}
+    e = shares["src-a"].exponent
+    weight = {s: own[s] ** (1 - e) * t**e for s, t in (("src-a", 0.5), ("src-b", 0.4))}
+    assert 0 < e < 1 and all(shares[s].actual_share == pytest.approx(weight[s] / sum(weight.values()), abs=0.01) for s in weight)
+    most = max(shares[s].mix_seconds / (own[s] * m) for s, m in (("src-a", 1), ("src-b", 3)))
+    assert most == pytest.approx(1, abs=0.01) and sum(r.mix_seconds for r in shares.values()) == pytest.approx(sum(own.values()), rel=0.01)
+    assert all(r.uses <= (1 if r.source_dataset == "src-a" else 3) for r in warm.records.collect())
     fine = {r.clip_id for r in mix_sources(df, targets, rank_limit=1).records.collect()}
     assert fine == {r.clip_id for r in used}
     assert mix_sources(df.limit(0), targets).records.count() == 0

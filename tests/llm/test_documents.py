@@ -75,11 +75,21 @@ def test_leaks(spark):
     assert got == want and len(want) > 10
     odd = {(int(r.doc_id), r.id, r.slots) for r in out.collect() if r.doc_id == "103"}
     assert odd == {(103, "num", "consistent")}
-    wide = leaked_prompts(d, q, names, max_prompts=2)
-    assert {(int(r.doc_id), r.id) for r in wide.where("run_words >= 6 and 2 * run_words >= prompt_words").collect()} == want
+    assert {tuple(r) for r in leaked_prompts(d, q, names, block_bytes=300).collect()} == {tuple(r) for r in out.collect()}
     assert leaked_prompts(d.limit(0), q, names).count() == leaked_prompts(d, q.limit(0)).count() == 0
 
 
+def test_names_in_templates_do_not_depend_on_other_prompts(spark):
+    asked = [("a", "Dün akşam Ayşe pazardan üç kilo elma aldı ve eve kadar yürüdü")]
+    more = [("b", "Sabah Mehmet limana indi, Kerem orada onu uzun uzun bekledi durdu")]
+    docs = [(1, "dün akşam Kerem pazardan üç kilo elma aldı ve eve kadar yürüdü"), (2, "dün akşam Zibidos pazardan üç kilo elma aldı ve eve kadar yürüdü"), (3, "dün akşam 7 pazardan üç kilo elma sattı"), (4, "sabah Ali limana indi, Ali orada onu uzun uzun bekledi durdu"), (5, "sabah Ali limana indi, Can orada onu uzun uzun bekledi durdu")]
+    d = spark.createDataFrame(docs, "doc_id int, text string")
+    names = spark.createDataFrame([("Ayşe",), ("Mehmet",), ("Kerem",), ("Ali",)], "given_name string")
+    one, two = ({(r.doc_id, r.id, r.template_words, r.slots) for r in leaked_prompts(d, spark.createDataFrame(q, "id string, text string"), names).collect()} for q in (asked, asked + more))
+    assert one == {("1", "a", 12, "consistent"), ("2", "a", 12, "consistent")}
+    assert two == one | {("4", "b", 11, "consistent"), ("5", "b", 11, "consistent")}
+
+
 SENTENCES = ["Sabah erkenden ıslak kumda büyük kaleler yaptılar ve sonra eve döndüler.", "Bu akşam öğretmen yeni kitabı dikkatle okudu, çünkü sınav yakındı.", "Yağmur dinince çocuklar bahçede uzun uzun top oynadı.", "Kayıt biterken mikrofonu kapattı ve notlarını masaya bıraktı."]
 
 

@@ -1,7 +1,10 @@
 import random
 from collections import defaultdict
 
+import pytest
+
 from corpusloom.llm.components import components
+from corpusloom.llm import splitting
 from corpusloom.llm.splitting import assign_splits, balance_splits, difference_bins, related_groups
 
 
@@ -58,10 +61,12 @@ def test_differencing():
             assert max(sums) - min(sums) <= 5
 
 
-def test_balance(spark):
+@pytest.mark.parametrize("shard", [60, 200, 5000])
+def test_balance(spark, monkeypatch, shard):
     draw = random.Random(5)
     rows = [(f"g{k}", draw.randrange(1, 30)) for k in range(800)] + [("huge", 900)]
-    out = balance_splits(spark.createDataFrame(rows, "group_id string, records int"), {"train": 0.8, "validation": 0.1, "test": 0.1}, shard=200).collect()
+    monkeypatch.setattr(splitting, "FAN", 3)
+    out = balance_splits(spark.createDataFrame(rows, "group_id string, records int"), {"train": 0.8, "validation": 0.1, "test": 0.1}, shard=shard).collect()
     sums = defaultdict(int)
     for r in out:
         sums[r.split] += r.weight
