@@ -62,3 +62,20 @@ def micros(seconds: Column) -> Column:
     """Whole microseconds of a duration, so that sums are exact; 0 for null, NaN, negative and infinite ones."""
     known = seconds.isNotNull() & ~F.isnan(seconds) & (seconds > 0) & (seconds < 1e12)
     return F.when(known, F.round(seconds * 1e6).cast("long")).otherwise(F.lit(0).cast("long"))
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def canonical_id_sql(column: str) -> str:
+    """The SQL of canonical_id."""
+    wide = f"translate({column}, {_quoted(FULL_WIDTH)}, {_quoted(ASCII)})"
+    key = f"regexp_replace(lower(translate({wide}, 'Iıİ', 'iii')), '[^\\p{{L}}\\p{{N}}]', '', 'g')"
+    return f"(CASE WHEN {key} NOT IN ('', {', '.join(map(_quoted, UNKNOWN_WORDS))}) THEN {key} END)"
+
+
+def canonical_split_sql(column: str) -> str:
+    """The SQL of canonical_split."""
+    key = f"regexp_replace(lower(translate({column}, 'Iıİ', 'iii')), '[^\\p{{L}}\\p{{N}}]', '', 'g')"
+    return "(CASE " + " ".join(f"WHEN {key} IN ({', '.join(map(_quoted, names))}) THEN {_quoted(split)}" for split, names in SPLIT_NAMES.items()) + " END)"

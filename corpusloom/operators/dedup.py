@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.plans.joins import hot_keys, salted_join
+
 
 def mark_duplicates(df: DataFrame, key: str, order: list[str], code_of: str = "duplicate_of") -> DataFrame:
     """df with the id of the first row of its key in code_of, null for that row itself and for null keys.
 
     The first rows are one aggregate with partial sums, joined back, so a hot key is never sorted in one task: the
-    order columns are compared as a struct, and the first of them is the id.
+    order columns are compared as a struct, and the first of them is the id. Keys that many rows share are salted.
     """
     firsts = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__key")).agg(F.min(F.struct(*order)).alias("__first"), F.count(F.lit(1)).alias("__n")).where("__n > 1")
-    joined = df.join(firsts, F.col(key) == F.col("__key"), "left")
+    hot = hot_keys(firsts, "__key", "__n")
+    joined = salted_join(df.withColumn("__key", F.col(key)), firsts, "__key", hot, F.xxhash64(*order), "left")
     own = F.struct(*order) == F.col("__first")
     return joined.withColumn(code_of, F.when(F.col("__first").isNotNull() & ~own, F.col("__first")[order[0]])).drop("__key", "__first", "__n")
 
@@ -34,6 +37,5 @@ def not_unique(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def last_wins(df: DataFrame, keys: list[str], ordinal: str) -> DataFrame:
-    """Of the rows of one key, the last by ordinal."""
-    w = Window.partitionBy(*keys).orderBy(F.col(ordinal).desc())
-    return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    """Of the rows of one key, the last by ordinal: an aggregate with partial results, not a sort."""
+    return df.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.max_by(F.struct(*df.columns), ordinal).alias("__x")).select("__x.*")

@@ -29,16 +29,12 @@ def strictly_accepted(codes: Column) -> Column:
     return F.coalesce(F.size(codes) == 0, F.lit(False))
 
 
-def signal_reasons(duration: Column, snr: Column, rate: Column, least: float = 1.0, most: float = 20.0, least_snr: float = 6.0, rates: tuple[int, ...] = (16000, 24000, 44100, 48000)) -> Column:
-    """Codes of clips that are too short or long, too noisy or of an odd rate. Boundary values pass; unknown values do
-    not fail, except that an unknown or NaN duration counts as 0."""
+def clip_reasons(duration: Column, snr: Column, least: float = 1.0, most: float = 20.0, least_snr: float = 6.0) -> Column:
+    """Codes of clips of which only the length and the noise distance are known: too short or long, too noisy. Boundary
+    values pass; unknown values do not fail, except that an unknown or NaN duration counts as 0. The gate on all seven
+    measures of a signal is evidence.signal_gate."""
     known = F.when(duration.isNull() | F.isnan(duration), 0.0).otherwise(duration)
-    return reasons(
-        (known < least, "duration_too_short"),
-        (known > most, "duration_too_long"),
-        (snr < least_snr, "low_estimated_snr"),
-        (~rate.isin(*rates), "unusual_sample_rate"),
-    )
+    return reasons((known < least, "duration_too_short"), (known > most, "duration_too_long"), (snr < least_snr, "low_estimated_snr"))
 
 
 def asr_reasons(reference: Column, text: Column, language: Column, confidence: Column, speech: Column, duration: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.operators.reports import mean_and_interval
+from corpusloom.plans.joins import sent
 
 MOST_CATCHES, LEAST_SAME = 1, 0.95
 
@@ -16,10 +17,10 @@ def oriented(ratings: DataFrame, key: DataFrame, categories: DataFrame) -> DataF
     key: trial, type, A, B. categories: trial, category. The last rating of a trial counts; a rating of an unknown
     trial fails; listeners with more than one non-zero catch rating are left out.
     """
-    joined = ratings.join(F.broadcast(key), "trial", "left")
+    joined = ratings.join(sent(key), "trial", "left")
     joined = joined.where(F.when(F.col("type").isNull(), F.raise_error(F.lit("unknown trial")).cast("boolean")).otherwise(F.lit(True)))
     bad = joined.groupBy("listener").agg(F.count_if((F.col("type") == "catch") & (F.col("cmos") != 0)).alias("catches")).where(F.col("catches") > MOST_CATCHES)
-    kept = joined.where("type <> 'catch'").join(bad.select("listener"), "listener", "left_anti").join(F.broadcast(categories), "trial", "left")
+    kept = joined.where("type <> 'catch'").join(bad.select("listener"), "listener", "left_anti").join(sent(categories), "trial", "left")
     candidate = F.when(F.col("type") == "ab", "gated").otherwise("synth")
     return kept.select("listener", "trial", F.col("type").alias("pool"), F.coalesce("category", F.lit("general")).alias("category"), F.when(F.col("B") == candidate, F.col("cmos")).otherwise(-F.col("cmos")).alias("score"), "same_person")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.operators.sampling import running
+
 
 def hours(seconds: Column) -> Column:
     """Known seconds in hours, to three decimals."""
@@ -18,17 +20,17 @@ def linear_percentiles(value: Column, *shares: float) -> Column:
 
 
 def nearest_rank(df: DataFrame, value: str, share: float, *by: str) -> DataFrame:
-    """The value at rank half-even((n - 1) * share) of the sorted values, without interpolation.
+    """(by, n, nearest_rank): the value at rank half-even((n - 1) * share) of the sorted values, without interpolation.
 
-    Values are counted first, so a group is as large as its distinct values.
+    Equal values are counted first; the counts of the sorted values are then totalled over ranges, so that no task holds
+    the values of a group. Nulls are left out.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__c"))
-    items = F.array_sort(F.collect_list(F.struct(F.col(value).alias("v"), F.col("__c").alias("c"))))
-    grouped = counts.groupBy(*by).agg(items.alias("__items"), F.sum("__c").alias("n"))
-    rank = F.bround((F.col("n") - 1) * F.lit(share)).cast("long")
-    start = F.struct(F.lit(0).cast("long").alias("c"), F.lit(None).cast("double").alias("v"))
-    found = F.aggregate("__items", start, lambda a, x: F.when(a["c"] > rank, a).otherwise(F.struct((a["c"] + x["c"]).alias("c"), x["v"].cast("double").alias("v"))))
-    return grouped.select(*by, "n", found["v"].alias("nearest_rank"))
+    key = F.to_json(F.struct(*by)) if by else F.lit("")
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__c")).withColumn("__g", key)
+    run = running(counts, "__g", [value], "__c", "__to")
+    sizes = counts.groupBy("__g").agg(F.sum("__c").alias("n"))
+    at = run.join(sizes, "__g").withColumn("__rank", F.bround((F.col("n") - 1) * F.lit(share)).cast("long"))
+    return at.where((F.col("__rank") < F.col("__to")) & (F.col("__rank") >= F.col("__to") - F.col("__c"))).select(*by, "n", F.col(value).cast("double").alias("nearest_rank"))
 
 
 def reason_histogram(df: DataFrame, codes: str) -> DataFrame:

@@ -20,24 +20,75 @@ def hash_sample(df: DataFrame, row_id: str, n: int, version: str) -> DataFrame:
     return df.orderBy(hash_order(version, F.col(row_id)), row_id).limit(n)
 
 
-def greedy_cap(df: DataFrame, group: str, row_id: str, size: Column, order: list[Column], cap: int) -> DataFrame:
-    """(group, id) of the rows kept: in order, each row that still fits under the cap; a row that does not is skipped
-    and later ones are tried. size: whole units.
+def running(df: DataFrame, group: str | None, order: list[str], size: str, out: str = "run") -> DataFrame:
+    """df with the total of size, within its group and in order, up to and with each row. order must be total.
 
-    The fold needs the rows of a group in order. Rows larger than the cap never fit and are dropped first; what is
-    collected is one narrow struct a row, group by group.
+    The rows are cut into ranges of (group, order), each of which is totalled on its own and begins after what the ranges
+    before it hold of its first group; so no task sees a whole group. Only ranges that begin inside a group need that,
+    at most one group each, and these few totals are broadcast.
     """
-    rows = df.select(F.col(group).alias("g"), F.col(row_id).alias("i"), size.cast("long").alias("s"), F.struct(*[o.alias(f"o{k}") for k, o in enumerate(order)]).alias("o")).where(F.col("s") <= cap)
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [group] if group else []
+    parts = cut(df.repartitionByRange(n, *keys, *order).withColumn("__p", F.spark_partition_id()))
+    same = (lambda c, d: F.col(c).eqNullSafe(F.col(d))) if group else (lambda c, d: F.lit(True))
+    sums = parts.groupBy("__p", *keys).agg(F.sum(size).alias("__s"))
+    of = Window.partitionBy(*keys).orderBy("__p")
+    before = sums.withColumn("__before", F.sum("__s").over(of) - F.col("__s")).withColumn("__first", F.row_number().over(of))
+    before = before.where("__first > 1").select(F.col("__p").alias("__q"), *[F.col(k).alias("__same") for k in keys], "__before")
+    within = F.sum(size).over(Window.partitionBy("__p", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    joined = parts.withColumn("__within", within).join(F.broadcast(before), (F.col("__p") == F.col("__q")) & (same(group, "__same") if group else F.lit(True)), "left")
+    return joined.withColumn(out, F.coalesce("__before", F.lit(0)) + F.col("__within")).drop("__p", "__q", "__same", "__before", "__within")
+
+
+def _folded(rows: DataFrame) -> DataFrame:
+    """(g, i) kept of rows (g, o, i, s, room), group by group in order; for groups of a bounded size."""
     items = F.array_sort(F.collect_list(F.struct("o", "i", "s")))
-    folded = rows.groupBy("g").agg(items.alias("items")).select(
-        "g",
-        F.aggregate(
-            "items",
-            F.struct(F.lit(0).cast("long").alias("t"), F.array().cast("array<string>").alias("k")),
-            lambda a, x: F.when(a["t"] + x["s"] <= cap, F.struct((a["t"] + x["s"]).alias("t"), F.concat(a["k"], F.array(x["i"].cast("string"))).alias("k"))).otherwise(a),
-        ).alias("f"),
-    )
-    return folded.select(F.col("g").alias(group), F.explode("f.k").alias(row_id))
+    start = F.struct(F.lit(0).cast("long").alias("t"), F.array().cast("array<string>").alias("k"))
+    take = lambda a, x: F.struct((a["t"] + x["s"]).alias("t"), F.concat(a["k"], F.array(x["i"].cast("string"))).alias("k"))
+    folded = rows.groupBy("g").agg(items.alias("items"), F.first("room").alias("room"))
+    return folded.select("g", F.explode(F.aggregate("items", start, lambda a, x: F.when(a["t"] + x["s"] <= F.col("room"), take(a, x)).otherwise(a))["k"]).alias("i"))
+
+
+def greedy_cap(df: DataFrame, group: str, row_id: str, size: Column, order: list[Column], cap: int, bound: int = 2_000) -> DataFrame:
+    """(group, id) of the rows kept: in order, each row that still fits under the cap; a row that does not is skipped
+    and later ones are tried. size: whole units, null counts as too large. Ids are told apart within a group.
+
+    Groups of at most `bound` rows are folded. In larger ones all rows before the first that does not fit are kept at
+    once, found by running totals over ranges; after it only rows that fit into what is left stay candidates, and the
+    step is repeated until at most `bound` candidates of a group are left, which are folded. No task sees a whole group.
+    """
+    key = F.col(group).cast("string")
+    rows = df.select(key.alias("g"), F.col(row_id).cast("string").alias("i"), size.cast("long").alias("s"), F.struct(*[o.alias(f"o{k}") for k, o in enumerate(order)]).alias("o"), F.lit(cap).cast("long").alias("room")).where(F.col("s") <= cap)
+    rows = cut(rows)
+    large = lambda r: r.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bound).select("g")
+    marked = lambda r, big: r.join(F.broadcast(big.withColumnRenamed("g", "__g")), F.col("g").eqNullSafe(F.col("__g")), "left").withColumn("big", F.col("__g").isNotNull() | (F.lit(len(big.where("g is null").take(1)) > 0) & F.col("g").isNull())).drop("__g")
+    big = cut(large(rows))  # at most one group for every `bound` rows
+    if big.isEmpty():
+        out = _folded(rows)
+        return out.select(F.col("g").cast(df.schema[group].dataType).alias(group), F.col("i").alias(row_id))
+    split = marked(rows, big)
+    kept = [_folded(split.where("not big").drop("big"))]
+    left = split.where("big").drop("big")
+    while True:
+        run = cut(running(left, "g", ["o", "i"], "s"))
+        over = run.where("run > room").groupBy("g").agg(F.min(F.struct("o", "i")).alias("stop")).withColumnRenamed("g", "__g")
+        at = run.join(F.broadcast(over), F.col("g").eqNullSafe(F.col("__g")), "left").drop("__g")
+        fits = F.col("stop").isNull() | (F.struct("o", "i") < F.col("stop"))
+        kept.append(at.where(fits).select("g", "i"))
+        used = at.where(fits & F.col("stop").isNotNull()).groupBy("g").agg(F.sum("s").alias("used")).withColumnRenamed("g", "__g")
+        rest = at.where(~fits & (F.struct("o", "i") > F.col("stop"))).join(F.broadcast(used), F.col("g").eqNullSafe(F.col("__g")), "left")
+        left = cut(rest.withColumn("room", F.col("room") - F.coalesce("used", F.lit(0))).where(F.col("s") <= F.col("room")).select("g", "i", "s", "o", "room"))
+        big = cut(large(left))
+        if big.isEmpty():
+            kept.append(_folded(left))
+            break
+        split = marked(left, big)
+        kept.append(_folded(split.where("not big").drop("big")))
+        left = split.where("big").drop("big")
+    out = kept[0]
+    for part in kept[1:]:
+        out = out.unionByName(part)
+    return out.select(F.col("g").cast(df.schema[group].dataType).alias(group), F.col("i").alias(row_id))
 
 
 def until_reached(df: DataFrame, order: list[Column], size: Column, target: int, buckets: int = 256) -> DataFrame:
@@ -55,12 +106,6 @@ def until_reached(df: DataFrame, order: list[Column], size: Column, target: int,
     return joined.withColumn("__run", F.col("__before") + run - F.col("__s")).where(F.col("__run") < target).drop("__b", "__s", "__before", "__run")
 
 
-def per_row_sample(pairs: DataFrame, target: str, choice: str, k: int, seed: str) -> DataFrame:
-    """For every target, k of its choices in an order that is seeded by the target."""
-    order = F.sha2(F.concat_ws(":", F.lit(seed), F.col(target), F.col(choice)), 256)
-    return pairs.withColumn("__n", F.row_number().over(Window.partitionBy(target).orderBy(order, choice))).where(F.col("__n") <= k).drop("__n")
-
-
 def places(df: DataFrame, *order: str) -> DataFrame:
     """df with place: the position of each row in the order, from 0. The order must be total.
 
@@ -74,6 +119,17 @@ def places(df: DataFrame, *order: str) -> DataFrame:
     return parts.join(F.broadcast(before), "__p").withColumn("place", F.col("__before") + rank - 1).drop("__p", "__before")
 
 
+def first_k(df: DataFrame, by: list[str], order: list[str], k: int) -> DataFrame:
+    """The first k rows of each group by the order, which is total. The window's own limit of a group runs before the
+    shuffle, so no task sees more than k rows a group of each partition."""
+    return df.withColumn("__n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("__n") <= k).drop("__n")
+
+
+def least_k(df: DataFrame, by: str, order: Column, tie: str, k: int) -> DataFrame:
+    """The k rows of each group with the least order, the least tie column among equal ones."""
+    return first_k(df.withColumn("__o", order), [by], ["__o", tie], k).drop("__o")
+
+
 def drawn_siblings(df: DataFrame, group: str, row_id: str, k: int, seed: str, bins: int = 64) -> DataFrame:
     """(target, choice): for every row of a group, k of the group's other rows, or all where there are fewer, drawn by
     the target's own seed. Rows without a group draw none and are drawn by none. row_id must be unique.
@@ -160,6 +216,17 @@ def duration_batches(df: DataFrame, group: str, row_id: str, frames: Column, bud
     return starts.withColumn("within", within).join(before, ["k", "block"]).select(name.alias(group), F.col("i").cast("string").alias(row_id), (F.col("before") + F.col("within") - 1).cast("int").alias("batch"))
 
 
+def ranked_batches(batches: DataFrame, batch: str, ranks: int, seed: str, epoch: int = 0, drop_remainder: bool = True) -> DataFrame:
+    """batches with rank and step: the batches of one set, numbered from 0, in an order seeded by the epoch, dealt to
+    ranks in turn. With drop_remainder the last batches that do not fill a round are left out, by number, so that every
+    rank has as many."""
+    n = batches.agg(F.countDistinct(batch)).first()[0]
+    usable = n - n % ranks if drop_remainder else n
+    order = places(batches.select(batch).distinct().where(F.col(batch) < usable).withColumn("__h", F.sha2(F.concat_ws(":", F.lit(f"{seed}:{epoch}"), F.col(batch).cast("string")), 256)), "__h", batch)
+    dealt = order.select(batch, F.pmod("place", F.lit(ranks)).cast("int").alias("rank"), F.floor(F.col("place") / ranks).cast("int").alias("step"))
+    return batches.join(dealt, batch)
+
+
 def clamped(value: Column, low: float, high: float) -> Column:
     """value within low..high."""
     return F.greatest(F.lit(low), F.least(F.lit(high), value))

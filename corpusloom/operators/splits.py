@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.identity import canonical_split
+from corpusloom.operators.sampling import places, running
+from corpusloom.plans.joins import hot_keys, salted_join
 
 
 def hash_bucket(text: Column, modulus: int) -> Column:
@@ -31,24 +33,30 @@ def parent_split(parent: Column) -> Column:
 def ranked_split(df: DataFrame, parent: str, validation: float = 0.05, test: float = 0.05, salt: str = "") -> DataFrame:
     """(parent, split): parents in hash order; the first share is validation, the next test, at least one each.
 
-    Only one row a parent is ranked. Fewer than three parents cannot be split: all are train.
+    Only one row a parent is ranked, in ranges of the hash. Fewer than three parents cannot be split: all are train.
     """
     parents = df.where(F.col(parent).isNotNull()).select(F.col(parent).alias("parent")).distinct()
-    count = parents.agg(F.count(F.lit(1)).alias("n"))
-    held = lambda f: F.greatest(F.lit(1), F.bround(F.col("n") * f).cast("int"))
-    rank = F.row_number().over(Window.orderBy(F.sha2(F.concat(F.lit(salt), "parent"), 256), "parent"))
-    ranked = parents.withColumn("rank", rank).join(F.broadcast(count))
-    split = F.when(F.col("n") < 3, "train").when(F.col("rank") <= held(validation), "validation").when(F.col("rank") <= held(validation) + held(test), "test").otherwise("train")
+    ranked = places(parents.withColumn("h", F.sha2(F.concat(F.lit(salt), "parent"), 256)), "h", "parent")
+    n = F.lit(ranked.count())
+    held = lambda f: F.greatest(F.lit(1), F.bround(n * f).cast("int"))
+    split = F.when(n < 3, "train").when(F.col("place") < held(validation), "validation").when(F.col("place") < held(validation) + held(test), "test").otherwise("train")
     return ranked.select("parent", split.alias("split"))
 
 
 def stratified_holdout(df: DataFrame, group: str, row_id: str, share: float, seed: str) -> DataFrame:
-    """df with held: within each group, in hash order, round(n * share) rows, at least 1 and at most n - 1."""
-    own = Window.partitionBy(group)
-    n = F.count(F.lit(1)).over(own)
-    rank = F.row_number().over(own.orderBy(F.sha2(F.concat_ws(":", F.lit(seed), F.col(row_id)), 256), row_id))
-    most = F.when(n == 1, 0).otherwise(F.least(n - 1, F.greatest(F.lit(1), F.bround(n * share).cast("long"))))
-    return df.withColumn("held", rank <= most)
+    """df with held: within each group, in hash order, round(n * share) rows, at least 1 and at most n - 1.
+
+    Ranks are running counts over ranges, so a group that holds a large part of the rows is ranked by many tasks.
+    """
+    rows = df.withColumn("__h", F.sha2(F.concat_ws(":", F.lit(seed), F.col(row_id)), 256)).withColumn("__one", F.lit(1))
+    ranked = running(rows, group, ["__h", row_id], "__one", "__rank")
+    sizes = df.groupBy(F.col(group).alias("__of")).agg(F.count(F.lit(1)).alias("__n"))
+    most = F.when(F.col("__n") == 1, 0).otherwise(F.least(F.col("__n") - 1, F.greatest(F.lit(1), F.bround(F.col("__n") * share).cast("long"))))
+    hot = hot_keys(sizes.select(F.col("__of").alias("__k"), "__n"), "__k", "__n")
+    joined = salted_join(ranked.withColumn("__k", F.col(group)).where(F.col(group).isNotNull()), sizes.select(F.col("__of").alias("__k"), "__n"), "__k", hot, F.xxhash64(row_id))
+    lost = ranked.where(F.col(group).isNull()).join(F.broadcast(sizes.where("__of is null").select("__n")))
+    out = joined.drop("__k").unionByName(lost)
+    return out.withColumn("held", F.col("__rank") <= most).drop("__h", "__one", "__rank", "__n")
 
 
 def split_names(split: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.operators.sampling import places
+
 UNKNOWN_CHARACTER = 1
 
 
@@ -17,7 +19,7 @@ def character_vocabulary(df: DataFrame, text: str) -> DataFrame:
 def speaker_vocabulary(df: DataFrame, speaker: str) -> DataFrame:
     """(speaker, id): the distinct non-empty speakers in order, numbered from 1; 0 is reserved."""
     names = df.select(F.col(speaker).alias("speaker")).where("speaker <> ''").distinct()
-    return names.select("speaker", F.row_number().over(Window.orderBy("speaker")).cast("long").alias("id"))
+    return places(names, "speaker").select("speaker", (F.col("place") + 1).alias("id"))
 
 
 def encoded(df: DataFrame, text: str, vocabulary: DataFrame) -> DataFrame:

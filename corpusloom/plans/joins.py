@@ -16,10 +16,16 @@ def small(df: DataFrame, limit: int) -> bool:
     aggregate over all of df, which should be written already."""
     size = F.lit(0).cast("long")
     for name, kind in df.dtypes:
-        size = size + 16 + (F.coalesce(F.octet_length(name), F.lit(0)) if kind in ("string", "binary") else 0)
+        long = F.octet_length(name) if kind in ("string", "binary") else 8 * F.size(name) if kind.startswith("array") else F.lit(0)
+        size = size + 16 + F.coalesce(long, F.lit(0))
     return (df.agg(F.sum(size)).first()[0] or 0) <= limit
 
 
+def sent(df: DataFrame, limit: int = 16_000_000) -> DataFrame:
+    """df, marked for broadcast where it is small; otherwise as it is, so that joins with it shuffle."""
+    return F.broadcast(df) if small(df, limit) else df
+
+
 def hot_keys(counts: DataFrame, key: str, rows: str, share: float = 0.001, least: int = 20_000) -> DataFrame:
     """The keys that hold at least a share of all rows, and at least `least`: never more than 1/share of them."""
     total = counts.agg(F.sum(rows).alias("__total"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.queries import pipelines, reports, selection, splitting, text, vectors, whole  # noqa: F401
+from corpusloom.queries import evidence, groups, pipelines, reports, selection, splitting, text, vectors  # noqa: F401
 from corpusloom.queries.registry import QUERIES, SQL, Query
 
 

@@ -33,19 +33,10 @@ def combined_dataset(spark: SparkSession, folder: str) -> DataFrame:
     return pipelines.combined_dataset(rows, 60_000, 3_600_000)
 
 
-@query("""WITH c AS (SELECT DISTINCT clip_id, session_id, duration_seconds AS d FROM clip_records WHERE session_id LIKE 's-%' AND source_dataset = 'haber-spiker'),
- p AS (SELECT t.clip_id, r.clip_id AS sibling, row_number() OVER (PARTITION BY t.clip_id ORDER BY abs(r.d - 8), r.clip_id) AS k FROM c t JOIN c r ON t.session_id = r.session_id AND t.clip_id <> r.clip_id AND r.d BETWEEN 2 AND 12)
- SELECT c.clip_id, p.sibling, p.sibling IS NULL AS replay FROM c LEFT JOIN p ON p.clip_id = c.clip_id AND p.k = 1""")
-def paired_references(spark: SparkSession, folder: str) -> DataFrame:
-    """Clips of one source with a reference of the same session."""
-    c = table(spark, folder, "clip_records", "clip_id", "session_id", "source_dataset", "duration_seconds").where("session_id like 's-%' and source_dataset = 'haber-spiker'").distinct()
-    return pipelines.paired_references(c).select("clip_id", "sibling", "replay")
-
-
-@query("""SELECT p.id, g.config, CAST(g.scale AS DOUBLE) AS scale, s.seed FROM evaluation_prompts p CROSS JOIN (VALUES ('base', 1.0), ('warm', 1.1)) g(config, scale) CROSS JOIN (SELECT range AS seed FROM range(4)) s WHERE p.category IN ('general', 'numeric')""")
+@query("""SELECT p.id, g.config, CAST(g.scale AS DOUBLE) AS scale, s.seed FROM evaluation_prompts p CROSS JOIN (VALUES ('base', 1.0), ('warm', 1.1)) g(config, scale) CROSS JOIN (SELECT range AS seed FROM range(4)) s""")
 def param_grid(spark: SparkSession, folder: str) -> DataFrame:
-    """Prompts of two categories with every configuration and seed."""
-    prompts = table(spark, folder, "evaluation_prompts", "id", "category").where(F.col("category").isin("general", "numeric")).select("id")
+    """Prompts with every configuration and seed."""
+    prompts = table(spark, folder, "evaluation_prompts", "id")
     return pipelines.parameter_grid(prompts, 4, [{"config": "base", "scale": 1.0}, {"config": "warm", "scale": 1.1}]).select("id", "config", "scale", "seed")
 
 

@@ -12,15 +12,14 @@ from corpusloom.sources.tables import table
 KNOWN = "(CASE WHEN duration_seconds IS NULL OR isnan(duration_seconds) THEN 0.0 ELSE duration_seconds END)"
 GATED = f"""gated AS (SELECT clip_id, source_dataset, collection_format, speaker_id, rights_state, duration_seconds, metadata,
   list_filter([CASE WHEN {KNOWN} < 1.0 THEN 'duration_too_short' END, CASE WHEN {KNOWN} > 20.0 THEN 'duration_too_long' END,
-   CASE WHEN metadata.estimated_snr_db < 6.0 THEN 'low_estimated_snr' END,
-   CASE WHEN sample_rate_hz NOT IN (16000, 24000, 44100, 48000) THEN 'unusual_sample_rate' END], lambda x: x IS NOT NULL) AS reasons FROM clip_records)"""
+   CASE WHEN metadata.estimated_snr_db < 6.0 THEN 'low_estimated_snr' END], lambda x: x IS NOT NULL) AS reasons FROM clip_records)"""
 HOURS = f"round(sum(CAST(round({KNOWN} * 1000) AS BIGINT)) / 3600000.0, 3)"
 
 
 def gated(spark: SparkSession, folder: str) -> DataFrame:
     """Clips with their reasons."""
-    clips = table(spark, folder, "clip_records", "clip_id", "source_dataset", "collection_format", "speaker_id", "rights_state", "duration_seconds", "sample_rate_hz", "metadata")
-    return clips.withColumn("reasons", gates.signal_reasons(F.col("duration_seconds"), F.col("metadata.estimated_snr_db"), F.col("sample_rate_hz")))
+    clips = table(spark, folder, "clip_records", "clip_id", "source_dataset", "collection_format", "speaker_id", "rights_state", "duration_seconds", "metadata")
+    return clips.withColumn("reasons", gates.clip_reasons(F.col("duration_seconds"), F.col("metadata.estimated_snr_db")))
 
 
 @query(f"WITH {GATED} SELECT clip_id, array_to_string(reasons, ',') AS reasons, len(reasons) = 0 AS accepted FROM gated")
@@ -149,12 +148,24 @@ def asr_evidence(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("clip_id", gates.merged(codes).alias("reasons"))
 
 
-@query()
+def agreement_sql() -> str:
+    """The SQL of asr_agreement."""
+    from corpusloom.queries.text import COMPARABLE, distance_sql
+
+    d = "coalesce(nullif(CASE WHEN NOT isnan(duration_seconds) THEN duration_seconds END, 0.0), 1.0)"
+    cer = f"CASE WHEN length(ref) = 0 THEN 1.0 ELSE {distance_sql('ref', 'hyp')} / length(ref) END"
+    return f"""WITH c AS (SELECT DISTINCT clip_id, transcript, duration_seconds FROM clip_records WHERE transcript IS NOT NULL),
+ r AS (SELECT a.*, duration_seconds, {COMPARABLE.format(x='transcript')} AS ref, {COMPARABLE.format(x="coalesce(text, '')")} AS hyp FROM asr_results a JOIN c USING (clip_id)), e AS (SELECT *, {cer} AS cer FROM r)
+ SELECT clip_id, round(cer, 6) AS cer, list_filter([CASE WHEN trim(hyp) = '' THEN 'asr_empty' END, CASE WHEN language <> 'tr' AND language_probability >= 0.8 THEN 'wrong_language' END,
+  CASE WHEN trim(hyp) <> '' AND cer > CASE WHEN length(ref) < 20 THEN 0.6 ELSE 0.4 END THEN 'transcript_mismatch' END, CASE WHEN speech_seconds / {d} < 0.25 THEN 'insufficient_asr_speech' END], lambda x: x IS NOT NULL) AS reasons FROM e"""
+
+
+@query(agreement_sql())
 def asr_agreement(spark: SparkSession, folder: str) -> DataFrame:
     """Transcripts that a recogniser does not confirm, with the character error rate over comparison forms."""
     from corpusloom.functions.text import character_error_rate, comparison_form
 
     clips = table(spark, folder, "clip_records", "clip_id", "transcript", "duration_seconds").distinct().where("transcript is not null")
     rows = table(spark, folder, "asr_results").join(clips, "clip_id").withColumns({"ref": comparison_form(F.col("transcript")), "hyp": comparison_form(F.coalesce("text", F.lit("")))})
-    codes = gates.asr_reasons(F.col("ref"), F.col("hyp"), F.col("language"), F.col("language_probability"), F.col("speech_seconds"), F.col("duration_seconds"))
+    codes = gates.asr_reasons(F.col("ref"), F.col("hyp"), F.col("language"), F.col("language_probability"), F.col("speech_seconds"), F.when(~F.isnan("duration_seconds"), F.col("duration_seconds")))
     return rows.select("clip_id", F.round(character_error_rate(F.col("ref"), F.col("hyp")), 6).alias("cer"), codes.alias("reasons"))

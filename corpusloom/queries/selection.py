@@ -5,22 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.operators import joins, listening, select
+from corpusloom.operators import joins, select
+from corpusloom.plans import datasets
 from corpusloom.queries.registry import query
+from corpusloom.queries.text import COMPARABLE
 from corpusloom.sources.tables import table
 
-@query("SELECT DISTINCT clip_id FROM clip_records WHERE source_dataset = 'ortak-kayit' AND clip_id NOT IN (SELECT clip_id FROM asr_results WHERE clip_id IS NOT NULL)")
-def pending_anti(spark: SparkSession, folder: str) -> DataFrame:
-    """Clips of one source without a transcript."""
-    inputs = table(spark, folder, "clip_records", "clip_id", "source_dataset").where("source_dataset = 'ortak-kayit'").select("clip_id").distinct()
-    return joins.pending(inputs, table(spark, folder, "asr_results", "clip_id"), "clip_id")
 
-
-@query("SELECT id FROM evaluation_prompts WHERE text IN (SELECT transcript FROM clip_records WHERE transcript IS NOT NULL)")
+@query(f"""WITH t AS (SELECT DISTINCT {COMPARABLE.format(x="coalesce(nullif(trim(normalized_transcript), ''), nullif(trim(transcript), ''))")} AS k FROM clip_records)
+ SELECT id FROM evaluation_prompts WHERE {COMPARABLE.format(x="text")} IN (SELECT k FROM t WHERE k <> '')""")
 def contamination_exact(spark: SparkSession, folder: str) -> DataFrame:
-    """Prompts whose text is a transcript."""
-    training = table(spark, folder, "clip_records", "transcript").withColumnRenamed("transcript", "text")
-    return joins.contaminated(table(spark, folder, "evaluation_prompts", "id", "text"), training, "text").select("id")
+    """Prompts whose text, in comparison form, is that of a clip."""
+    training = table(spark, folder, "clip_records", "normalized_transcript", "transcript")
+    return datasets.contaminated(table(spark, folder, "evaluation_prompts", "id", "text"), training).select("id")
 
 
 @query("""WITH a AS (SELECT o_orderkey AS k, count(*) AS a FROM orders GROUP BY 1), b AS (SELECT l_orderkey AS k, count(*) AS b FROM lineitem WHERE l_linenumber = 1 GROUP BY 1)
@@ -40,24 +37,6 @@ def aligned_runs(spark: SparkSession, folder: str) -> DataFrame:
     return joins.aligned_runs(r, "run", "k", "place")
 
 
-@query("""WITH c AS (SELECT DISTINCT clip_id, session_id, source_dataset, duration_seconds AS d FROM clip_records WHERE speaker_id LIKE 'mk-%' AND session_id LIKE 's-%' AND duration_seconds BETWEEN 2 AND 12)
- SELECT t.clip_id AS target, r.clip_id AS reference FROM c t JOIN c r ON t.session_id = r.session_id WHERE t.clip_id <> r.clip_id AND t.d + r.d <= 12""")
-def theta_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    """Pairs of clips of one session with a bounded total length."""
-    c = table(spark, folder, "clip_records", "clip_id", "session_id", "speaker_id", "duration_seconds").where("speaker_id like 'mk-%' and session_id like 's-%' and duration_seconds between 2 and 12").distinct()
-    pairs = joins.reference_pairs(c, c, "session_id", (F.col("t.clip_id") != F.col("r.clip_id")) & (F.col("t.duration_seconds") + F.col("r.duration_seconds") <= 12))
-    return pairs.select(F.col("t.clip_id").alias("target"), F.col("r.clip_id").alias("reference"))
-
-
-@query("""WITH c AS (SELECT DISTINCT clip_id, session_id, duration_seconds AS d FROM clip_records WHERE session_id LIKE 's-%'),
- p AS (SELECT t.clip_id, r.clip_id AS sibling, row_number() OVER (PARTITION BY t.clip_id ORDER BY abs(r.d - 8), r.clip_id) AS k FROM c t JOIN c r ON t.session_id = r.session_id AND t.clip_id <> r.clip_id AND r.d BETWEEN 2 AND 12)
- SELECT c.clip_id, p.sibling FROM c LEFT JOIN p ON p.clip_id = c.clip_id AND p.k = 1""")
-def nearest_sibling(spark: SparkSession, folder: str) -> DataFrame:
-    """The clip of the same session whose length is nearest to eight seconds."""
-    c = table(spark, folder, "clip_records", "clip_id", "session_id", "duration_seconds").where("session_id like 's-%'").distinct()
-    return joins.nearest_sibling(c, "session_id", "clip_id", "duration_seconds", 8.0, 2.0, 12.0)
-
-
 @query("SELECT c_mktsegment, count(*) AS n_orders, (SELECT count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)) AS excluded FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1")
 def lookup_excluded(spark: SparkSession, folder: str) -> DataFrame:
     """Orders by segment, with the number that have no customer."""
@@ -140,10 +119,6 @@ def candidate_spread(spark: SparkSession, folder: str) -> DataFrame:
     return j.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.round(F.min("l_discount"), 6).alias("least"), F.round(F.max("l_discount"), 6).alias("most"))
 
 
-def _ratings(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return rated(table(spark, folder, "events", "event_id", "user_id").where("user_id < 40 and event_id % 30 < 25"))
-
-
 def rated(e: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Ratings, key and categories of thirty trials, made of events: users as listeners."""
     last = e.groupBy(F.concat(F.lit("u"), "user_id").alias("listener"), (F.col("event_id") % 30 + 1).cast("int").alias("trial")).agg(F.max("event_id").alias("event_id"))
@@ -154,7 +129,7 @@ def rated(e: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return ratings, key, trials.select("trial", F.concat(F.lit("c"), F.col("trial") % 4).alias("category"))
 
 
-_RATED = """WITH e AS (SELECT 'u' || user_id AS listener, CAST(event_id % 30 + 1 AS INT) AS trial, max(event_id) AS event_id FROM events WHERE user_id < 40 AND event_id % 30 < 25 GROUP BY 1, 2),
+RATED = """WITH e AS (SELECT 'u' || user_id AS listener, CAST(event_id % 30 + 1 AS INT) AS trial, max(event_id) AS event_id FROM events GROUP BY 1, 2),
  t AS (SELECT *, CASE WHEN trial % 10 = 0 THEN 'catch' WHEN trial % 2 = 0 THEN 'ab' ELSE 'anchored' END AS pool, event_id % 7 - 3 AS cmos FROM e),
  bad AS (SELECT listener FROM t WHERE pool = 'catch' AND cmos <> 0 GROUP BY 1 HAVING count(*) > 1),
  r AS (SELECT listener, trial, pool, 'c' || (trial % 4) AS category, CASE WHEN trial % 3 = 0 THEN -cmos ELSE cmos END AS score, event_id % 3 = 0 AS same FROM t WHERE pool <> 'catch' AND listener NOT IN (SELECT listener FROM bad)),
@@ -162,16 +137,3 @@ _RATED = """WITH e AS (SELECT 'u' || user_id AS listener, CAST(event_id % 30 + 1
  UNION ALL SELECT 'pool', pool, round(avg(score), 6), round(CASE WHEN count(*) > 1 THEN 1.96 * sqrt(var_samp(score) / count(*)) END, 6), count(*) FROM r GROUP BY pool
  UNION ALL SELECT 'category', category, round(avg(score), 6), round(CASE WHEN count(*) > 1 THEN 1.96 * sqrt(var_samp(score) / count(*)) END, 6), count(*) FROM r GROUP BY category
  UNION ALL SELECT 'same_person', 'anchored', round(avg(CASE WHEN same THEN 1.0 ELSE 0.0 END), 6), NULL, count(*) FROM r WHERE pool = 'anchored')"""
-
-
-@query(f"{_RATED} SELECT * FROM rep")
-def ratings_score(spark: SparkSession, folder: str) -> DataFrame:
-    """A listening test made of events: means and intervals by pool and category."""
-    return listening.listening_report(listening.oriented(*_ratings(spark, folder)))
-
-
-@query(f"""{_RATED}, w AS (SELECT name, mean FROM rep WHERE level = 'category' ORDER BY mean, name LIMIT 1), p AS (SELECT mean AS pooled FROM rep WHERE level = 'all'), s AS (SELECT mean AS same_person FROM rep WHERE level = 'same_person')
- SELECT pooled, same_person, w.name AS worst_category, w.mean AS worst_mean, pooled >= 0 AND same_person >= 0.95 AND w.mean > -1 AS promote FROM p, s, w""")
-def ratings_verdict(spark: SparkSession, folder: str) -> DataFrame:
-    """Whether that test promotes its candidate."""
-    return listening.verdict(listening.listening_report(listening.oriented(*_ratings(spark, folder))))

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.identity import canonical_id
+from corpusloom.functions.text import character_error_rate, comparison_form
 from corpusloom.operators import dedup, joins, sampling, splits
 from corpusloom.operators.vocabulary import character_vocabulary, encoded, speaker_vocabulary
 from corpusloom.queries.registry import query
+from corpusloom.queries.text import COMPARABLE, distance_sql
 from corpusloom.sources.tables import table
 
 DISTINCT = "c AS (SELECT DISTINCT clip_id, source_dataset, source_split, audio_path, speaker_id, session_id, sha256, normalized_transcript, transcript, collection_format, duration_seconds, metadata FROM clip_records)"
@@ -120,12 +122,16 @@ def hash_sample_topn(spark: SparkSession, folder: str) -> DataFrame:
     return sampling.hash_sample(clips(spark, folder, "clip_id"), "clip_id", 100, "v1")
 
 
-@query("""SELECT clip_id FROM (SELECT DISTINCT clip_id, metadata.quality_score AS q, metadata.estimated_snr_db AS s FROM clip_records)
- ORDER BY coalesce(q, 0) DESC, coalesce(s, 0) DESC, sha256(clip_id) LIMIT 50""")
+@query(f"""WITH c AS (SELECT DISTINCT clip_id, {COMPARABLE.format(x="coalesce(transcript, '')")} AS a, metadata.estimated_snr_db AS s FROM clip_records), r AS (SELECT DISTINCT clip_id, {COMPARABLE.format(x='text')} AS b FROM asr_results WHERE text IS NOT NULL),
+ e AS (SELECT clip_id, any_value(s) AS s, min(CASE WHEN b IS NULL THEN NULL WHEN length(a) = 0 THEN 1.0 ELSE {distance_sql('a', 'b')} / length(a) END) AS cer FROM c LEFT JOIN r USING (clip_id) GROUP BY clip_id)
+ SELECT clip_id FROM e ORDER BY round(coalesce(cer, 0), 9), coalesce(s, 0) DESC, sha256(clip_id) LIMIT 50""")
 def quality_order_top(spark: SparkSession, folder: str) -> DataFrame:
-    """The 50 best clips by quality, then level, then hash."""
-    rows = clips(spark, folder, "clip_id", "metadata.quality_score", "metadata.estimated_snr_db")
-    return rows.orderBy(F.coalesce("quality_score", F.lit(0)).desc(), F.coalesce("estimated_snr_db", F.lit(0)).desc(), F.sha2("clip_id", 256)).limit(50).select("clip_id")
+    """The 50 best clips by error rate, then noise distance, then hash; unknown values count as 0."""
+    a = clips(spark, folder, "clip_id", "transcript", "metadata.estimated_snr_db").withColumn("a", comparison_form(F.coalesce("transcript", F.lit(""))))
+    b = table(spark, folder, "asr_results", "clip_id", "text").where("text is not null").select("clip_id", comparison_form(F.col("text")).alias("b")).distinct()
+    cer = F.when(F.col("b").isNotNull(), character_error_rate(F.col("a"), F.col("b")))
+    rows = a.join(b, "clip_id", "left").groupBy("clip_id").agg(F.min(cer).alias("cer"), F.max("estimated_snr_db").alias("snr"))
+    return rows.orderBy(F.round(F.coalesce("cer", F.lit(0.0)), 9), F.coalesce("snr", F.lit(0.0)).desc(), F.sha2("clip_id", 256)).limit(50).select("clip_id")
 
 
 _FOLD = """list_reduce(list_prepend({{'t': CAST(0 AS BIGINT), 'n': CAST(0 AS BIGINT), 'k': CAST([] AS VARCHAR[])}}, list({{'t': CAST(0 AS BIGINT), 'n': s, 'k': [clip_id]}} ORDER BY {order})),
@@ -170,15 +176,6 @@ def replay_count_ratio(spark: SparkSession, folder: str) -> DataFrame:
     return sampling.hash_sample(rows, "clip_id", n, "ratio")
 
 
-@query("""WITH t AS (SELECT DISTINCT clip_id AS target, session_id FROM clip_records WHERE source_dataset = 'kitap-anlatim' AND session_id LIKE 's-%'), p AS (SELECT a.target, b.target AS choice FROM t a JOIN t b USING (session_id) WHERE a.target <> b.target),
- r AS (SELECT target, choice, row_number() OVER (PARTITION BY target ORDER BY sha256('7:' || target || ':' || choice), choice) AS k FROM p) SELECT target, choice FROM r WHERE k <= 2""")
-def per_row_sample(spark: SparkSession, folder: str) -> DataFrame:
-    """Two siblings of each clip, drawn by its own seed."""
-    t = clips(spark, folder, "clip_id", "source_dataset", "session_id").where("source_dataset = 'kitap-anlatim' and session_id like 's-%'").select(F.col("clip_id").alias("target"), "session_id")
-    pairs = t.join(t.withColumnRenamed("target", "choice"), "session_id").where("target <> choice").select("target", "choice")
-    return sampling.per_row_sample(pairs, "target", "choice", 2, "7")
-
-
 @query()
 def duration_batches(spark: SparkSession, folder: str) -> DataFrame:
     """Batches of clips of like length, session by session, under a budget of frames; clips without a session are one group."""
@@ -186,15 +183,6 @@ def duration_batches(spark: SparkSession, folder: str) -> DataFrame:
     return sampling.duration_batches(rows, "session_id", "clip_id", units(), 30_000, 8)
 
 
-@query("SELECT clip_id, (row_number() OVER (ORDER BY clip_id) - 1) % 8 AS worker FROM (SELECT DISTINCT clip_id FROM clip_records WHERE source_dataset = 'haber-spiker')")
-def rank_strided(spark: SparkSession, folder: str) -> DataFrame:
-    """Position p of one source goes to worker p modulo 8."""
-    from pyspark.sql import Window
-
-    rows = clips(spark, folder, "clip_id", "source_dataset").where("source_dataset = 'haber-spiker'")
-    return rows.select("clip_id", F.pmod(F.row_number().over(Window.orderBy("clip_id")) - 1, F.lit(8)).cast("long").alias("worker"))
-
-
 @query("""SELECT round(greatest(0.35, least(0.9, quantile_cont(q, 0.01) - 0.03)), 6) AS least_quality, round(greatest(3.0, least(30.0, quantile_cont(s, 0.05) - 1.0)), 6) AS least_snr, count(*) AS n
  FROM (SELECT clip_id, metadata.quality_score AS q, metadata.estimated_snr_db AS s FROM clip_records WHERE metadata.quality_score >= 0.5)""")
 def calibrate_thresholds(spark: SparkSession, folder: str) -> DataFrame:
@@ -220,18 +208,12 @@ def token_encode(spark: SparkSession, folder: str) -> DataFrame:
     return encoded(prompts.where("text <> ''"), "text", vocabulary).select(F.col("id").alias("prompt"), F.array_join("ids", " ").alias("ids"))
 
 
-@query("SELECT speaker, row_number() OVER (ORDER BY speaker) AS id FROM (SELECT DISTINCT speaker_id AS speaker FROM clip_records WHERE speaker_id <> '' AND source_dataset = 'masal-kosesi')")
-def speaker_vocabulary_query(spark: SparkSession, folder: str) -> DataFrame:
-    """Speakers of one source, numbered from 1; 0 is reserved."""
-    return speaker_vocabulary(table(spark, folder, "clip_records", "speaker_id", "source_dataset").where("source_dataset = 'masal-kosesi'"), "speaker_id")
-
-
-@query("SELECT DISTINCT speaker_id FROM clip_records WHERE source_dataset = 'uretim-klip' AND speaker_id IS NOT NULL AND speaker_id NOT IN (SELECT speaker_id FROM clip_records WHERE source_dataset = 'masal-kosesi' AND speaker_id IS NOT NULL)")
+@query("""SELECT DISTINCT speaker_id FROM clip_records WHERE source_split IN ('validation', 'test') AND speaker_id <> '' AND speaker_id NOT IN (SELECT speaker_id FROM clip_records WHERE source_split = 'train' AND speaker_id <> '')""")
 def unknown_speakers(spark: SparkSession, folder: str) -> DataFrame:
-    """Speakers of one source that another source's vocabulary lacks."""
-    rows = table(spark, folder, "clip_records", "speaker_id", "source_dataset")
-    known = speaker_vocabulary(rows.where("source_dataset = 'masal-kosesi'"), "speaker_id")
-    return rows.where("source_dataset = 'uretim-klip' and speaker_id is not null").select("speaker_id").distinct().join(known, F.col("speaker_id") == F.col("speaker"), "left_anti")
+    """Speakers of the held-out splits that the vocabulary of the training split lacks."""
+    rows = table(spark, folder, "clip_records", "speaker_id", "source_split").where("speaker_id <> ''")
+    known = speaker_vocabulary(rows.where("source_split = 'train'"), "speaker_id")
+    return rows.where("source_split in ('validation', 'test')").select("speaker_id").distinct().join(known, F.col("speaker_id") == F.col("speaker"), "left_anti")
 
 
 @query("SELECT kind, name, balance FROM (SELECT 'supplier' AS kind, s_name AS name, s_acctbal AS balance FROM supplier UNION ALL SELECT 'customer', c_name, c_acctbal FROM customer)")

@@ -120,7 +120,19 @@ def style_router(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "evaluation_prompts", "id", "text").select("id", text.chat_style(F.col("text")).alias("style"))
 
 
-@query()
+def distance_sql(a: str, b: str) -> str:
+    """The SQL of the edit distance of two comparison forms: one byte a letter, as the function counts bytes."""
+    plain = "translate({x}, 'çöüğış', 'COUGIS')"
+    return f"levenshtein({plain.format(x=a)}, {plain.format(x=b)})"
+
+
+_CODED = "array_to_string(list_transform({x}, lambda w: chr(CAST(list_position(u, w) + 32 AS INT))), '')"
+
+
+@query(f"""WITH {CLIPS}, p AS (SELECT c.clip_id, {COMPARABLE.format(x='c.transcript')} AS a, {COMPARABLE.format(x='r.text')} AS b FROM c JOIN (SELECT DISTINCT clip_id, text FROM asr_results WHERE text IS NOT NULL) r USING (clip_id)),
+ w AS (SELECT *, list_filter(string_split(a, ' '), lambda w: w <> '') AS x, list_filter(string_split(b, ' '), lambda w: w <> '') AS y FROM p), u AS (SELECT *, list_distinct(list_concat(x, y)) AS u FROM w)
+ SELECT clip_id, round(CASE WHEN length(a) = 0 THEN 1.0 ELSE {distance_sql('a', 'b')} / length(a) END, 6) AS cer,
+  round(CASE WHEN len(x) = 0 THEN 1.0 ELSE levenshtein({_CODED.format(x='x')}, {_CODED.format(x='y')}) / len(x) END, 6) AS wer FROM u""")
 def cer_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Character and word error rates of transcripts against recognised texts."""
     asr = table(spark, folder, "asr_results", "clip_id", "text").where("text is not null").distinct()
@@ -130,8 +142,9 @@ def cer_pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def clause_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    """Prompts in chunks of at most 90 characters."""
-    return table(spark, folder, "evaluation_prompts", "id", "text").select("id", F.posexplode(text.clause_chunks(F.col("text"), 90)).alias("place", "chunk"))
+    """Prompts, as a speech model reads them, in chunks of at most 90 characters."""
+    read = table(spark, folder, "evaluation_prompts", "id", "text").select("id", spelling.spoken_form("text").alias("text"))
+    return read.select("id", F.posexplode(text.clause_chunks(F.col("text"), 90)).alias("place", "chunk"))
 
 
 @query()

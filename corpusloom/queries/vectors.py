@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import arrays
 from corpusloom.operators import joins
+from corpusloom.plans.joins import sent
 from corpusloom.queries.registry import query
 from corpusloom.sources.tables import table
 
@@ -31,7 +32,7 @@ def centroid_consistency(spark: SparkSession, folder: str) -> DataFrame:
     """The cosine of each vector and its label's centroid; labels of one vector are not assessed."""
     e = table(spark, folder, "embeddings")
     n = e.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    rows = e.join(F.broadcast(centroids(spark, folder).join(n, "label")), "label")
+    rows = e.join(sent(centroids(spark, folder).join(n, "label")), "label")
     sim = F.round(arrays.dot(F.col("embedding"), F.col("centroid")) / F.greatest(arrays.norm(F.col("embedding")), F.lit(1e-8)), 6)
     many = F.col("n") > 1
     return rows.select("vec_id", F.when(many, sim).alias("similarity"), many.alias("assessed"), F.coalesce(many & (sim < 0.35), F.lit(False)).alias("inconsistent"))
@@ -76,7 +77,7 @@ def quantile_gated_band_mean(spark: SparkSession, folder: str) -> DataFrame:
 def zscore_penalty(spark: SparkSession, folder: str) -> DataFrame:
     """How far each vector is from its label, in floored deviations."""
     e = table(spark, folder, "embeddings")
-    rows = e.join(F.broadcast(arrays.by_position(e, "embedding", "label")), "label")
+    rows = e.join(sent(arrays.by_position(e, "embedding", "label")), "label")
     return rows.select("vec_id", F.round(arrays.penalty(F.col("embedding"), F.col("mean"), F.col("deviation")), 6).alias("penalty"))
 
 

@@ -86,9 +86,9 @@ def test_arrays(spark):
 
 
 def test_gates(spark):
-    df = spark.createDataFrame([(0.5, 3.0, 48000), (1.0, 6.0, 48000), (None, None, 7)], "d double, s double, r int")
-    out = df.select(gates.signal_reasons(F.col("d"), F.col("s"), F.col("r")).alias("c")).collect()
-    assert [r.c for r in out] == [["duration_too_short", "low_estimated_snr"], [], ["duration_too_short", "unusual_sample_rate"]]
+    df = spark.createDataFrame([(0.5, 3.0), (1.0, 6.0), (None, None)], "d double, s double")
+    out = df.select(gates.clip_reasons(F.col("d"), F.col("s")).alias("c")).collect()
+    assert [r.c for r in out] == [["duration_too_short", "low_estimated_snr"], [], ["duration_too_short"]]
     lists = spark.createDataFrame([(["b", "a"], None), (None, ["a"])], "x array<string>, y array<string>").select(gates.merged(F.col("x"), F.col("y")).alias("m"), gates.accepted(F.col("x")).alias("a"), gates.strictly_accepted(F.col("x")).alias("s")).collect()
     assert [tuple(r) for r in lists] == [(["a", "b"], False, False), (["a"], True, False)]
     with pytest.raises(Exception, match="wanted"):

@@ -38,7 +38,7 @@ def test_theta_pairs_whole(spark, folder):
             known = canonical(t[2]) and t[4] is not None and r[4] is not None
             if known and canonical(t[2]) == canonical(r[2]) and (t[7][0] or t[0]) != (r[7][0] or r[0]) and 2 <= r[4] <= 12 and t[4] + r[4] <= 12 and len(t[5]) + len(r[5]) + 1 <= 512:
                 want.add((t[0], r[0]))
-    got = [(x.target, x.reference) for x in all_queries()["theta_pairs_whole"](spark, path).collect()]
+    got = [(x.target, x.reference) for x in all_queries()["theta_pairs"](spark, path).collect()]
     assert len(got) == len(set(got)) and set(got) == want
     assert any(clips[t][3] != clips[r][3] and clips[t][2] != clips[r][2] for t, r in got)
 
@@ -60,13 +60,13 @@ def test_ratings_whole(spark, tmp_path):
     catches = {u: sum(t % 10 == 0 and k % 7 != 3 for (v, t), k in last.items() if v == u) for u in range(90)}
     kept = {(u, t): k for (u, t), k in last.items() if catches[u] <= 1 and t % 10}
     score = {x: (3 - k % 7 if x[1] % 3 == 0 else k % 7 - 3) for x, k in kept.items()}
-    report = {(r.level, r.name): r for r in all_queries()["ratings_score_whole"](spark, str(tmp_path)).collect()}
+    report = {(r.level, r.name): r for r in all_queries()["ratings_score"](spark, str(tmp_path)).collect()}
     assert report["all", "*"].n == len(score) > 0 and max(u for u, _ in kept) >= 40 and max(t for _, t in kept) > 25
     assert report["all", "*"].mean == pytest.approx(sum(score.values()) / len(score), abs=1e-6)
     for n in range(4):
         mine = [s for (_, t), s in score.items() if t % 4 == n]
         assert ("category", f"c{n}") not in report if not mine else report["category", f"c{n}"].mean == pytest.approx(sum(mine) / len(mine), abs=1e-6)
-    assert all_queries()["ratings_verdict_whole"](spark, str(tmp_path)).first().pooled == report["all", "*"].mean
+    assert all_queries()["ratings_verdict"](spark, str(tmp_path)).first().pooled == report["all", "*"].mean
 
 
 def test_siblings_and_ranks_whole(spark, folder):
@@ -74,18 +74,18 @@ def test_siblings_and_ranks_whole(spark, folder):
     run = lambda name: all_queries()[name](spark, path).collect()
     others = {i: {j for j, y in clips.items() if j != i and canonical(x[3]) and canonical(y[3]) == canonical(x[3])} for i, x in clips.items()}
     drawn = {i: [] for i in clips}
-    for r in run("per_row_sample_whole"):
+    for r in run("per_row_sample"):
         drawn[r.target].append(r.choice)
     assert all(len(set(d)) == len(d) == min(2, len(others[i])) and set(d) <= others[i] for i, d in drawn.items())
     assert len({clips[i][1] for i, d in drawn.items() if d}) == 4 and any(clips[i][3] != clips[j][3] for i, d in drawn.items() for j in d)
     fit = {i: sorted((abs(clips[j][4] - 8), j) for j in o if clips[j][4] is not None and 2 <= clips[j][4] <= 12) for i, o in others.items()}
     want = {(i, f[0][1] if f else None, not f) for i, f in fit.items()}
-    got = [tuple(r) for r in run("paired_references_whole")]
+    got = [tuple(r) for r in run("paired_references")]
     assert len(got) == len(clips) and set(got) == want
-    assert {(r.clip_id, r.worker) for r in run("rank_strided_whole")} == {(i, k % 8) for k, i in enumerate(sorted(clips))}
-    assert [tuple(r) for r in sorted(run("speaker_vocabulary_whole"))] == [(s, k) for k, s in enumerate(sorted({x[2] for x in clips.values() if x[2]}), 1)]
+    assert {(r.clip_id, r.worker) for r in run("rank_strided")} == {(i, k % 8) for k, i in enumerate(sorted(clips))}
+    assert [tuple(r) for r in sorted(run("speaker_vocabulary_query"))] == [(s, k) for k, s in enumerate(sorted({x[2] for x in clips.values() if x[2]}), 1)]
     spark.createDataFrame([("c001",), ("c002",), (None,)], "clip_id string").write.mode("overwrite").parquet(f"{path}/asr_results.parquet")
-    assert {r.clip_id for r in run("pending_anti_whole")} == set(clips) - {"c001", "c002"}
+    assert {r.clip_id for r in run("pending_anti")} == set(clips) - {"c001", "c002"}
 
 
 def test_drawn_siblings_are_even(spark):
@@ -121,6 +121,6 @@ def test_sessions_whole(spark, folder):
     size = lambda d: round(d * 1000) if d and d == d else 0
     got = [(r.session_id, r.clip_id, r.batch) for r in all_queries()["duration_batches"](spark, path).collect()]
     assert len(got) == len(clips) and set(got) == batched([(canonical(x[3]), i, size(x[4])) for i, x in clips.items()], 30_000, 8)
-    near = {r.clip_id: r.sibling for r in all_queries()["nearest_sibling_whole"](spark, path).collect()}
+    near = {r.clip_id: r.sibling for r in all_queries()["nearest_sibling"](spark, path).collect()}
     fit = {i: [(abs(y[4] - 8), j) for j, y in clips.items() if j != i and canonical(x[3]) and canonical(y[3]) == canonical(x[3]) and y[4] is not None and 2 <= y[4] <= 12] for i, x in clips.items()}
     assert near == {i: min(f)[1] if f else None for i, f in fit.items()} and None in near.values()
