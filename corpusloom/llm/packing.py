@@ -17,7 +17,9 @@ from corpusloom.session import cut
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 CAPACITY = 2048
-BLOCK, ISLANDS, EPOCHS, POPULATION, GENERATIONS = 1500, 2, 2, 4, 6
+BLOCK, ISLANDS, EPOCHS, POPULATION, GENERATIONS = 1500, 2, 2, 8, 30
+#: Displaced documents that are tried in pairs at once.
+PAIRED = 48
 #: Containers filled to this share stay as they are when leftovers are packed once more.
 FULL = 0.999
 # The split pattern that goes with the vocabularies of byte-level BPE.
@@ -75,9 +77,45 @@ def fitness(bins: list[list], capacity: int) -> float:
     return sum(((capacity - b[0]) / capacity) ** 2 for b in bins) / len(bins) if bins else 0.0
 
 
+def tightened(bins: list[list], loose: list[tuple[int, int]], capacity: int, draw: Random) -> list[tuple[int, int]]:
+    """Fill bins better by exchanges: one or two of a bin's items for one or two loose ones that together take more of its
+    room, and never more than all of it. Changes bins; the items that are loose then."""
+    loose = sorted(loose)
+    for b in sorted(bins, key=lambda x: -x[0]):
+        better = True
+        while b[0] > 0 and loose and better:
+            better = False
+            some = loose if len(loose) <= PAIRED else sorted(draw.sample(loose, PAIRED))
+            pairs = sorted((x[0] + y[0], i, j) for i, x in enumerate(some) for j, y in enumerate(some[:i]))
+            members = b[1]
+            out = [(0, ())] + [(x[0], (x,)) for x in members] + [(x[0] + y[0], (x, y)) for i, x in enumerate(members) for y in members[:i]]
+            best = (0, (), ())
+            for size, gone in out:
+                room = size + b[0]
+                k = bisect_left(loose, (room + 1, -1)) - 1
+                if k >= 0 and loose[k][0] - size > best[0]:
+                    best = (loose[k][0] - size, gone, (loose[k],))
+                k = bisect_left(pairs, (room + 1, -1, -1)) - 1
+                if k >= 0 and pairs[k][0] - size > best[0]:
+                    best = (pairs[k][0] - size, gone, (some[pairs[k][1]], some[pairs[k][2]]))
+            if best[0] > 0:
+                gain, gone, come = best
+                b[0] -= gain
+                b[1] = [x for x in members if x not in gone] + list(come)
+                loose = sorted([x for x in loose if x not in come] + list(gone))
+                better = True
+    return loose
+
+
+def fitted(bins: list[list], loose: list[tuple[int, int]], capacity: int, draw: Random) -> list[list]:
+    """The bins with all loose items: first exchanges, then each item where it fits best, largest first."""
+    loose = tightened(bins, loose, capacity, draw)
+    return best_fit(sorted(loose, reverse=True), capacity, bins)
+
+
 def crossed(a: list[list], b: list[list], capacity: int, draw: Random) -> list[list]:
     """The fuller bins of b put into a whole; bins of a that share an item with them are broken up, and their other
-    items fitted in again, largest first."""
+    items fitted in again."""
     picked = [x for x in b if draw.random() < 0.5 and x[0] <= 0.02 * capacity] or [min(b, key=lambda x: x[0])]
     taken = {i for x in picked for _, i in x[1]}
     kept, loose = [[x[0], list(x[1])] for x in picked], []
@@ -86,48 +124,47 @@ def crossed(a: list[list], b: list[list], capacity: int, draw: Random) -> list[l
             loose += [t for t in x[1] if t[1] not in taken]
         else:
             kept.append([x[0], list(x[1])])
-    loose.sort(reverse=True)
-    return best_fit(loose, capacity, kept)
+    return fitted(kept, loose, capacity, draw)
 
 
 def mutated(bins: list[list], capacity: int, draw: Random) -> list[list]:
-    """The least filled bins, and some others, broken up and fitted in again."""
+    """The least filled bins, and a few others, broken up and their items fitted in again."""
     order = sorted(bins, key=lambda x: -x[0])
-    some = max(2, len(bins) // 20)
+    some = draw.randint(2, max(3, len(bins) // 20))
     loose = [t for x in order[:some] for t in x[1]]
     rest = []
     for x in order[some:]:
-        if draw.random() < 0.03:
+        if draw.random() < 2 / len(bins):
             loose += x[1]
         else:
             rest.append([x[0], list(x[1])])
-    draw.shuffle(loose)
-    loose.sort(key=lambda t: -t[0])
-    return best_fit(loose, capacity, rest)
+    return fitted(rest, loose, capacity, draw)
 
 
 def evolve(items: list[tuple[int, int]], capacity: int, seed: int, immigrant: list[list] | None = None, population: int = POPULATION, generations: int = GENERATIONS) -> list[list]:
-    """The best grouping that a grouping genetic algorithm finds for items (size, key)."""
+    """The best grouping that a grouping genetic algorithm finds for items (size, key).
+
+    It begins with best-fit of the falling sizes, the immigrant and best-fits of disturbed orders; each generation crosses
+    one of the better half with another and mutates the child, and both take the places of the worst. It ends where no
+    grouping can have fewer containers.
+    """
     if not items:
         return []
     draw = Random(seed)
-    first = sorted(items, reverse=True)
-    pool = [best_fit(first, capacity)]
-    if immigrant is not None:
-        pool.append(immigrant)
-    while len(pool) < population:
-        noisy = sorted(items, key=lambda t: -t[0] * (1 + 0.2 * draw.random()))
-        pool.append(best_fit(noisy, capacity))
     least = -(-sum(s for s, _ in items) // capacity)
-    for _ in range(generations):
-        pool.sort(key=lambda x: -fitness(x, capacity))
-        if len(pool[0]) == least and generations > 1 and fitness(pool[0], capacity) > 0.9999:
-            break
-        a, b = pool[0], pool[1 + draw.randrange(len(pool) - 1)] if len(pool) > 1 else pool[0]
-        pool[-1] = mutated(crossed(a, b, capacity, draw), capacity, draw)
-        if len(pool) > 2:
-            pool[-2] = crossed(b, a, capacity, draw)
-    return max(pool, key=lambda x: fitness(x, capacity))
+    rank = lambda x: (len(x), -fitness(x, capacity))
+    pool = [best_fit(sorted(items, reverse=True), capacity), *([immigrant] if immigrant is not None else [])]
+    if min(map(len, pool)) > least:
+        while len(pool) < population:
+            pool.append(best_fit(sorted(items, key=lambda t: -t[0] * (1 + 0.2 * draw.random())), capacity))
+        for _ in range(generations):
+            pool.sort(key=rank)
+            if len(pool[0]) <= least:
+                break
+            a, b = draw.sample(range(len(pool)), 2) if draw.random() < 0.5 else (0, draw.randrange(1, len(pool)))
+            child = crossed(pool[a], pool[b], capacity, draw)
+            pool[-1], pool[-2] = mutated(child, capacity, draw), child
+    return min(pool, key=rank)
 
 
 def _islands(items: DataFrame, capacity: int, block: int, islands: int, epochs: int, seed: int) -> DataFrame:
@@ -160,7 +197,7 @@ def _islands(items: DataFrame, capacity: int, block: int, islands: int, epochs:
         if epoch + 1 < epochs:  # each island sends its elite to the next one
             base = done.select("key", "size", "block", "island", "bin")
             state = base.withColumn("own", F.lit(True)).unionByName(base.withColumn("island", F.pmod(F.col("island") + 1, F.lit(islands)).cast("int")).withColumn("own", F.lit(False)))
-    best = done.groupBy("block", "island").agg(F.max("fit").alias("fit")).groupBy("block").agg(F.max_by("island", F.struct("fit", -F.col("island"))).alias("island"))
+    best = done.groupBy("block", "island").agg((-F.max("bin")).alias("few"), F.max("fit").alias("fit")).groupBy("block").agg(F.max_by("island", F.struct("few", "fit", -F.col("island"))).alias("island"))
     return done.join(best, ["block", "island"]).select("key", "size", "block", "bin", "free")
 
 
@@ -172,25 +209,28 @@ def pack(
 
     Method: grouping genetic algorithm on islands. Documents are hashed to blocks of about `block`; each block evolves
     on several islands, tasks of their own: crossover puts whole well-filled bins of one parent into the other,
-    removes duplicates and best-fits the displaced documents; after each epoch every island's elite goes to the next
-    island. Of each block the best island counts. Documents in bins that are not full then form new, fewer blocks and
+    removes duplicates and fits the displaced documents in again, by exchanges with the documents of other bins and then
+    by best fit; after each epoch every island's elite goes to the next island. Of each block the best island counts. Documents in bins that are not full then form new, fewer blocks and
     evolve once more. A document over the capacity is cut into full parts, each a container of its own, and a rest
     that is packed like a document; no other document is split.
 
     Defined cases: documents without tokens (null or empty text) have one part 0 of 0 tokens and no container. Rows of
     one id and text are one document each; repeated rows are packed each on their own, numbered by part only if they
     are split. An empty table gives an empty result. Other columns are not read. Only sizes and ids are moved; a block
-    is bounded, whatever the number of documents.
+    is bounded, whatever the number of documents. The result depends on the rows only, not on how they are partitioned.
     """
-    sized = cut(token_counts(documents, id_col, text_col, tokenizer).withColumn("row", F.monotonically_increasing_id()))
+    counted = token_counts(documents, id_col, text_col, tokenizer).groupBy("doc_id", "tokens").agg(F.count(F.lit(1)).alias("n"))
+    # the copies of an id and size are numbered, a thousand at a time, so that keys depend on the rows only
+    copies = counted.withColumn("a", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / 1000))))
+    copies = copies.withColumn("copy", F.explode(F.sequence(F.col("a") * 1000, F.least(F.col("n"), F.col("a") * 1000 + 1000) - 1)))
+    sized = cut(copies.select("doc_id", "tokens", F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "tokens", "copy").alias("row")))
     full = sized.where(F.col("tokens") > capacity).select("doc_id", "row", "tokens", F.explode(F.sequence(F.lit(0), F.floor(F.col("tokens") / capacity).cast("int") - 1)).alias("part"))
     whole = full.select("doc_id", "part", F.lit(capacity).alias("tokens"), F.concat_ws("-", F.lit("full"), F.col("row").cast("string"), F.col("part").cast("string")).alias("container"))
     rest = F.when(F.col("tokens") > capacity, F.pmod("tokens", F.lit(capacity))).otherwise(F.col("tokens")).cast("int")
     part = F.when(F.col("tokens") > capacity, F.floor(F.col("tokens") / capacity)).otherwise(0).cast("int")
     pieces = sized.select("doc_id", F.col("row").alias("key"), part.alias("part"), rest.alias("size"))
     items = pieces.where("size > 0")
-    counted = items.agg(F.count(F.lit(1))).first()[0]
-    blocks = max(1, round(counted / block))
+    blocks = max(1, round(items.count() / block))
     first = _islands(items.select("key", "size", F.pmod(F.xxhash64(F.lit(seed), "key"), F.lit(blocks)).alias("block")), capacity, block, islands, epochs, seed)
     first = cut(first)
     loose = first.where(F.col("free") > (1 - FULL) * capacity).select("key", "size")

@@ -1,9 +1,10 @@
 import random
+from random import Random
 
 import pytest
 
 from corpusloom.llm.leakage import leaked_prompts, tokens
-from corpusloom.llm.packing import best_fit, encoder, evolve, fitness, pack, packing_report
+from corpusloom.llm.packing import best_fit, crossed, encoder, evolve, mutated, pack, packing_report, tightened
 from corpusloom.llm.stuffing import find_stuffed, passages
 
 
@@ -31,16 +32,47 @@ def test_packing_is_whole_and_tight(spark):
     assert pack(df.limit(0)).count() == 0 and packing_report(pack(df.limit(0))).first().fill == 1.0
 
 
-def test_evolution_beats_best_fit():
-    draw = random.Random(6)
-    items = [(draw.randrange(20, 70), k) for k in range(200)]
-    start = best_fit(sorted(items, reverse=True), 100)
-    end = evolve(items, 100, 1, population=6, generations=20)
-    assert sorted(i for b in end for _, i in b[1]) == list(range(200)) and all(b[0] == 100 - sum(s for s, _ in b[1]) >= 0 for b in end)
-    assert fitness(end, 100) >= fitness(start, 100)
+def triplets(seed, n=20, capacity=1000):
+    """3 n items that fill n bins exactly, three to a bin."""
+    draw, sizes = Random(seed), []
+    for _ in range(n):
+        a = draw.randrange(380, 490)
+        b = draw.randrange(250, (capacity - a) // 2 + 1)
+        sizes += [a, b, capacity - a - b]
+    draw.shuffle(sizes)
+    return [(s, k) for k, s in enumerate(sizes)]
+
+
+def test_evolution_needs_fewer_containers_than_best_fit():
+    fewer = 0
+    for seed in range(4):
+        items = triplets(seed)
+        start = best_fit(sorted(items, reverse=True), 1000)
+        end = evolve(items, 1000, 1, population=10, generations=60)
+        assert sorted(i for b in end for _, i in b[1]) == list(range(60)) and all(b[0] == 1000 - sum(s for s, _ in b[1]) >= 0 for b in end)
+        assert 20 <= len(end) <= len(start)
+        fewer += len(start) - len(end)
+    assert fewer >= 6
     assert evolve([], 100, 0) == []
 
 
+def test_crossover_and_exchange_keep_all_items():
+    draw = Random(6)
+    items = [(draw.randrange(20, 70), k) for k in range(200)]
+    a, b = best_fit(sorted(items, reverse=True), 100), best_fit(sorted(items), 100)
+    for bins in (crossed(a, b, 100, draw), mutated(a, 100, draw)):
+        assert sorted(i for x in bins for _, i in x[1]) == list(range(200)) and all(x[0] == 100 - sum(s for s, _ in x[1]) >= 0 for x in bins)
+    bins = [[10, [(50, 0), (40, 1)]]]
+    assert tightened(bins, [(49, 2), (5, 3)], 100, draw) == [(5, 3), (40, 1)] and bins[0][0] == 1
+
+
+def test_packing_does_not_depend_on_partitions(spark):
+    rows = [(k % 70, "ses kayıt " * (k % 23 + 1)) for k in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    one, two = (sorted(map(tuple, pack(df.repartition(n), capacity=128, block=60).collect()), key=str) for n in (1, 7))
+    assert one == two
+
+
 def longest(doc, prompt):
     """Words of the longest run of a prompt in a document, by brute force."""
     a, best = tokens(doc), 0
