@@ -10,34 +10,25 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.disclosure import LOOSE, ODD, ONE_TO_ONE
 from corpusloom.session import cut
 
 SHORT_LINE, PASSAGE, LONG_LINE = 8, 40, 60
-MAX_LANGUAGES = 500
-LEAST_PASSAGES = 200
-#: Squared distance of an outlier: the 0.999 quantile of chi-square with 9 degrees of freedom.
-OUTLIER = 27.88
+#: A language's statistics count n / (n + BLEND) beside those of all, n being its passages.
+BLEND = 200
+#: Squared distance of an outlier: the 0.999 quantile of chi-square with 8 degrees of freedom.
+OUTLIER = 26.12
 #: Least length of an outlier's projection on the spam direction, in robust deviations of at most WINSOR each.
 DIRECTED, WINSOR = 2.5, 6.0
 SHARE = 2 / 3
 
-# Function words, folded to plain letters.
-FUNCTION_WORDS = frozenset(
-    """ve ile ama cunku oysa ustelik hatta yine de da bu su o icin gibi dogru kadar sonra once daha cok her bir ki ne mi
-    olarak olan var yok ise eger veya ya hem ancak boyunca
-    the a an of in on at by for to and or but with without from as is are was were it this that these those each every
-    under before after near during any some not they we you he she""".split()
-)
-# Words of sale and of calls to act, folded to plain letters.
-SALE_WORDS = frozenset(
-    """ucuz bedava fiyat fiyati fiyatlari indirim indir kampanya siparis toptan kiralik satin hemen al online ikinci el
-    profesyonel yorumlari satilik
-    buy cheap free sale online discount order download rental best price deal shop""".split()
-)
+#: Function words of a language are its words that the largest share of its documents has, at least COMMON of them, and at
+#: most FEW words.
+COMMON, FEW = 0.1, 60
+# Turkish numerals, folded to plain letters.
 NUMERALS = frozenset(["sifir", "bir", "iki", "uc", "dort", "bes", "alti", "yedi", "sekiz", "dokuz", "on", "yirmi", "otuz", "kirk", "elli", "altmis", "yetmis", "seksen", "doksan", "yuz", "bin"])
 PLAIN = (("I", "i"), ("İ", "i"), ("ı", "i"), ("ş", "s"), ("ç", "c"), ("ğ", "g"), ("ü", "u"), ("ö", "o"), ("Ş", "s"), ("Ç", "c"), ("Ğ", "g"), ("Ü", "u"), ("Ö", "o"))
 LINES = re.compile(r"[\r\n]+|</?(?:p|br|li|div|tr|ul|ol|h\d)\b[^<>]*>")
@@ -46,14 +37,14 @@ LINK_MARKS = ("http", "www.", ">>", "»")
 TOKEN = re.compile(r"[^\W_]+")
 CODE = re.compile(r"\b[a-z]{1,4}-\d{1,5}\b")
 SEPARATORS = (",", "|", "·", "•", ";", " / ", " - ", " + ", "*", "#")
-STOP = re.compile(r"(?<=[^\W\d_])[.!?…]+(?=\s|$)")
+STOP = re.compile(r"[.!?…]+(?=\s|$)")
 ENTRY = re.compile(r"→|=>|(?<!\S)/\w+/|\[\d+\]|^\W*[\w ]{1,30}:\s", re.M)
 
-FEATURES = ("link", "tag", "sale", "separator", "repeat", "order", "function", "sentence", "entry")
+FEATURES = ("link", "tag", "separator", "repeat", "order", "function", "sentence", "entry")
 #: Which way spam lies, feature by feature.
-DIRECTION = np.array([1, 1, 1, 1, 1, 1, -1, -1, -2], float)
+DIRECTION = np.array([1, 1, 1, 1, 1, -1, -1, -2], float)
 #: Least scale of each feature, so that one that hardly varies does not make every page an outlier.
-FLOOR = np.array([0.05, 0.05, 0.03, 0.12, 0.08, 0.05, 0.05, 0.2, 0.03])
+FLOOR = np.array([0.05, 0.05, 0.12, 0.08, 0.05, 0.05, 0.2, 0.03])
 
 
 def plain(text: str) -> str:
@@ -99,7 +90,12 @@ def passages(text: str) -> list[tuple[str, list[str]]]:
     return out
 
 
-def features(text: str) -> tuple[list[int], list[list[float]]]:
+def sentence_ends(passage: str) -> int:
+    """Marks that end a sentence, after a letter."""
+    return sum(passage[m.start() - 1].isalpha() for m in STOP.finditer(passage) if m.start())
+
+
+def features(text: str, function_words: frozenset[str]) -> tuple[list[int], list[list[float]]]:
     """(words, features) of each passage of a text."""
     parts = passages(plain(text))
     pairs: Counter = Counter()
@@ -129,12 +125,11 @@ def features(text: str) -> tuple[list[int], list[list[float]]]:
             [
                 min(1.0, linked / len(passage)),
                 min(1.0, 2 * tags / n),
-                sum(map(SALE_WORDS.__contains__, words)) / n,
                 min(1.0, sum(map(passage.count, SEPARATORS)) / n),
                 again / n,
                 common / (m * math.log(m)) if m > 2 else 0.0,
-                sum(map(FUNCTION_WORDS.__contains__, words)) / n,
-                min(1.0, 10 * len(STOP.findall(passage)) / n),
+                sum(map(function_words.__contains__, words)) / n,
+                min(1.0, 10 * sentence_ends(passage) / n),
                 min(1.0, 2 * len(ENTRY.findall(passage)) / n) if ("→" in passage or ":" in passage or "/" in passage or "[" in passage) else 0.0,
             ]
         )
@@ -148,6 +143,30 @@ def language(lang: Column) -> Column:
     return F.when(key.rlike("^(tr|tur|turk|türk)"), "tr").when(key.rlike("^en(g|$|[-_])"), "en").otherwise(F.coalesce(F.regexp_extract(key, "^[a-z]{2}", 0), F.lit("und")))
 
 
+def folded_words(text: Column) -> Column:
+    """The distinct words of a text, as plain() gives them for texts without look-alike letters."""
+    letters, to = "".join(a for a, _ in PLAIN), "".join(b for _, b in PLAIN)
+    return F.array_distinct(F.split(F.lower(F.translate(text, letters, to)), r"[^\p{L}]+"))
+
+
+def function_words(documents: DataFrame) -> dict[str, frozenset[str]]:
+    """The function words of each language of documents (lang, text): those of the largest document frequencies. "*" has
+    those of all documents. Collected are at most FEW words a language."""
+    each = documents.where("text is not null and text <> ''")
+    sizes = each.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    per = each.select("lang", F.explode(folded_words(F.col("text"))).alias("word")).where("word <> ''").groupBy("lang", "word").agg(F.count(F.lit(1)).alias("df"))
+    per = cut(per.where("df > 1"))
+    both = per.join(F.broadcast(sizes), "lang").select("lang", "word", "df", "n")
+    total = sizes.agg(F.sum("n").alias("n"))
+    whole = per.groupBy("word").agg(F.sum("df").alias("df")).join(F.broadcast(total)).select(F.lit("*").alias("lang"), "word", "df", "n")
+    often = both.unionByName(whole).where(F.col("df") >= COMMON * F.col("n"))  # a document has few words, so these are few
+    top = often.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("df"), "word"))).where(F.col("k") <= FEW)
+    out: dict[str, set[str]] = {}
+    for r in top.select("lang", "word").collect():
+        out.setdefault(r.lang, set()).add(r.word)
+    return {k: frozenset(v) for k, v in out.items()}
+
+
 @dataclass(frozen=True)
 class Stuffed:
     """documents: doc_id, words, spam_words, spam_share, stuffed. center: the robust statistics of each language."""
@@ -162,27 +181,30 @@ def find_stuffed(
     """The share of each document that is keywords, links or product tags, and whether it passes `share`.
 
     Method: robust Mahalanobis distance. Every passage (a line, a run of short lines or a piece of a long one) has
-    features of density (links, tags and codes, words of sale, separators), repetition within its document, lack of
-    entropy, function words, sentence ends and entries of reference lists. Per language, over all passages, median and
-    quartiles give centre and scale, and the covariance of the passages within three deviations gives the metric.
-    A passage counts as spam where its squared distance is over `outlier` and it lies in the spam direction: more
-    links, tags, sale, separators, repetition, less entropy, fewer function words, sentences and entries. Numerals are
-    no repetition, so drills stay; entries keep reference pages. A document's share is by words.
-
-    Defined cases: null and empty texts, and texts without words, have 0 words and share 0. Languages with under
-    LEAST_PASSAGES passages use the statistics of all. Rows of one id count as one document. Texts are read whole.
-    An empty table gives an empty result. Collected are only statistics of at most MAX_LANGUAGES languages.
+    features of density (links, tags and codes, separators), repetition within its document, lack of entropy, function
+    words, sentence ends and entries of reference lists. The function words of a language are taken from the corpus: the
+    words that most of its documents have. Per language, over all passages, median and quartiles give centre and scale,
+    and the covariance of the passages within three deviations gives the metric; each is blended with that of all
+    passages by the number of the language's passages, so a rare language leans on all. A passage counts as spam where
+    its squared distance is over `outlier` and it lies in the spam direction: more links, tags, separators, repetition,
+    less entropy, fewer function words, sentences and entries. Numerals are no repetition, so drills stay; entries keep
+    reference pages. A document's share is by words.
+
+    Defined cases: null and empty texts, and texts without words, have 0 words and share 0. Rows of one id count as one
+    document. Texts are read whole. An empty table gives an empty result. Collected are statistics and at most FEW words
+    of each language; there are at most 678 languages, as language() gives two letters or "und".
     """
     k = len(FEATURES)
     rows = documents.select(F.col(id_col).alias("doc_id"), language(F.col(lang_col)).alias("lang"), F.col(text_col).alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
     names = [f"f{i}" for i in range(k)]
+    words_of = function_words(rows.select("lang", "text"))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, sizes, values = [], [], []
-            for i, text in enumerate(batch.column(2).to_pylist()):
-                n, f = features(text or "")
+            for i, (lang, text) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                n, f = features(text or "", words_of.get(lang) or words_of.get("*", frozenset()))
                 at += [i] * max(1, len(n))
                 sizes += n or [0]
                 values += f or [[0.0] * k]
@@ -193,32 +215,33 @@ def find_stuffed(
     parts = cut(rows.mapInArrow(measure, f"doc_id {id_type}, lang string, words int, " + ", ".join(f"{n} float" for n in names)))
     real = parts.where("words > 0")
     quartiles = [F.percentile_approx(n, [0.25, 0.5, 0.75], 1000).alias(n) for n in names]
-    found = real.rollup("lang").agg(F.count(F.lit(1)).alias("n"), *quartiles).limit(MAX_LANGUAGES + 1).collect()
-    if len(found) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    found = {r.lang or "*": r for r in real.rollup("lang").agg(F.count(F.lit(1)).alias("n"), *quartiles).collect()}
+    whole = np.array([found["*"][n] for n in names], float) if found.get("*") and found["*"].n else np.zeros((k, 3))
     center = {}
-    for r in found:
-        if r.lang is None or r.n >= LEAST_PASSAGES:
-            q = np.array([r[n] for n in names], float) if r.n else np.zeros((k, 3))
-            center[r.lang or "*"] = {"passages": r.n, "median": q[:, 1], "scale": np.maximum((q[:, 2] - q[:, 0]) / 1.349, FLOOR)}
-    if not center:
-        center["*"] = {"passages": 0, "median": np.zeros(k), "scale": FLOOR}
+    for lang, r in found.items():
+        weight = r.n / (r.n + BLEND) if lang != "*" else 1.0
+        q = weight * np.array([r[n] for n in names], float) + (1 - weight) * whole if r.n else whole
+        center[lang] = {"passages": r.n, "weight": weight, "median": q[:, 1], "scale": np.maximum((q[:, 2] - q[:, 0]) / 1.349, FLOOR)}
+    center.setdefault("*", {"passages": 0, "weight": 1.0, "median": np.zeros(k), "scale": FLOOR})
 
-    def standard(lang_of: Iterator[str], table: np.ndarray) -> np.ndarray:
-        which = [center.get(x) or center["*"] for x in lang_of]
-        return (table - np.array([c["median"] for c in which])) / np.array([c["scale"] for c in which])
+    def standard(langs: list[str], table: np.ndarray) -> np.ndarray:
+        kinds = sorted(set(langs))
+        which = np.searchsorted(kinds, langs)
+        return (table - np.array([center[x]["median"] for x in kinds])[which]) / np.array([center[x]["scale"] for x in kinds])[which]
 
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            langs = np.array([x if x in center else "*" for x in batch.column(0).to_pylist()], object)
-            if not len(langs):
+            if not batch.num_rows:
                 continue
-            z = standard(langs, np.column_stack([batch.column(1 + j).to_numpy() for j in range(k)]).astype(float))
-            fine = (np.abs(z) <= 3).all(axis=1)
-            for x in set(langs[fine]):
-                one = np.column_stack([np.ones(int((fine & (langs == x)).sum())), z[fine & (langs == x)]])
-                sums[x] = sums.get(x, 0) + one.T @ one
+            langs = np.array(batch.column(0).to_pylist(), object)
+            table = np.column_stack([batch.column(1 + j).to_numpy() for j in range(k)]).astype(float)
+            for group in (langs, np.full(len(langs), "*", object)):  # every passage counts for its language and for all
+                z = standard(group.tolist(), table)
+                fine = (np.abs(z) <= 3).all(axis=1)
+                for x in set(group[fine]):
+                    one = np.column_stack([np.ones(int((fine & (group == x)).sum())), z[fine & (group == x)]])
+                    sums[x] = sums.get(x, 0) + one.T @ one
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v.reshape(-1).tolist() for v in sums.values()], pa.list_(pa.float64()))], names=["lang", "m"])
 
     per_task = real.select("lang", *names).mapInArrow(moments, "lang string, m array<double>")
@@ -227,16 +250,19 @@ def find_stuffed(
         m = np.array(r[1:], float).reshape(k + 1, k + 1)
         mean = m[0, 1:] / m[0, 0]
         center[r.lang]["covariance"] = m[1:, 1:] / m[0, 0] - np.outer(mean, mean)
+    of_all = center["*"].get("covariance", np.zeros((k, k)))
     for c in center.values():
-        c["metric"] = np.linalg.inv(c.get("covariance", np.zeros((k, k))) + 0.1 * np.eye(k))
+        c["covariance"] = c["weight"] * c.get("covariance", of_all) + (1 - c["weight"]) * of_all
+        c["metric"] = np.linalg.inv(c["covariance"] + 0.1 * np.eye(k))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit = DIRECTION / np.linalg.norm(DIRECTION)
         for batch in batches:
-            langs = [x if x in center else "*" for x in batch.column(1).to_pylist()]
+            langs = batch.column(1).to_pylist()
             words = batch.column(2).to_numpy()
-            if not len(langs):
+            if not langs:
                 continue
+            langs = [x if x in center else "*" for x in langs]  # a language without words has no statistics
             z = standard(langs, np.column_stack([batch.column(3 + j).to_numpy() for j in range(k)]).astype(float))
             away = np.zeros(len(z))
             for x in set(langs):
