@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.functions.identity import ASCII, FULL_WIDTH, UNKNOWN_WORDS
+from corpusloom.functions.identity import EMPTY_DIGESTS, canonical_id_sql, canonical_split_sql
 from corpusloom.llm.capping import cap_contributors
 from corpusloom.llm.disclosure import find_personal, sanitise
 from corpusloom.llm.leakage import leaked_prompts
@@ -147,17 +147,6 @@ QUERIES = {
 }
 
 
-def _quoted(text: str) -> str:
-    return "'" + text.replace("'", "''") + "'"
-
-
-def canonical_id_sql(column: str) -> str:
-    """The SQL of functions.identity.canonical_id."""
-    wide = f"translate({column}, {_quoted(FULL_WIDTH)}, {_quoted(ASCII)})"
-    key = f"regexp_replace(lower(translate({wide}, 'Iıİ', 'iii')), '[^\\p{{L}}\\p{{N}}]', '', 'g')"
-    return f"(CASE WHEN {key} NOT IN ('', {', '.join(map(_quoted, UNKNOWN_WORDS))}) THEN {key} END)"
-
-
 MICROS_SQL = "(CASE WHEN duration_seconds IS NULL OR isnan(duration_seconds) OR duration_seconds <= 0 THEN 0 ELSE CAST(round(duration_seconds * 1e6) AS BIGINT) END)"
 
 SQL: dict[str, str] = {
@@ -165,10 +154,32 @@ SQL: dict[str, str] = {
         WITH c AS (SELECT DISTINCT clip_id, speaker_id, duration_seconds, {canonical_id_sql("speaker_id")} AS g, {MICROS_SQL} AS s FROM clip_records),
         over_cap AS (SELECT g FROM c WHERE g IS NOT NULL GROUP BY g HAVING count(*) > 40 OR sum(s) > 600000000)
         SELECT DISTINCT speaker_id FROM c WHERE g IN (SELECT g FROM over_cap)""",
+    "p1_capped": f"""
+        WITH c AS (SELECT DISTINCT clip_id, speaker_id, duration_seconds, metadata.quality_score AS quality, {canonical_id_sql("speaker_id")} AS g, {MICROS_SQL} AS s FROM clip_records),
+        r AS (SELECT *, count(*) OVER w AS n, sum(s) OVER w AS t FROM c WINDOW w AS (PARTITION BY g ORDER BY CASE WHEN isnan(quality) THEN NULL ELSE quality END DESC NULLS LAST, substr(sha256(clip_id), 1, 15), clip_id ROWS UNBOUNDED PRECEDING))
+        SELECT clip_id, speaker_id, g AS contributor, duration_seconds, quality FROM r WHERE g IS NULL OR (n <= 40 AND t <= 600000000)""",
     "p2_found": f"""
         WITH c AS (SELECT DISTINCT clip_id, source_dataset, {canonical_id_sql("source_dataset")} AS g, {MICROS_SQL} AS s FROM clip_records),
         t AS (SELECT sum(s) AS total FROM c),
         per AS (SELECT g, sum(s) AS s FROM c GROUP BY g)
         SELECT m.source_dataset FROM mixture_targets m CROSS JOIN t LEFT JOIN per p ON p.g = {canonical_id_sql("m.source_dataset")}
         WHERE coalesce(p.s, 0) * m.max_repeats < m.target_share * t.total""",
+    "p4_found": f"""
+        WITH RECURSIVE c AS (SELECT DISTINCT clip_id, 'p' || {canonical_id_sql("speaker_id")} AS p, 's' || {canonical_id_sql("session_id")} AS e FROM clip_records),
+        l AS (SELECT DISTINCT p AS a, e AS b FROM c WHERE p IS NOT NULL AND e IS NOT NULL), both_ways AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+        reach AS (SELECT DISTINCT a AS node, a AS seen FROM both_ways UNION SELECT w.b, r.seen FROM reach r JOIN both_ways w ON w.a = r.node),
+        root AS (SELECT node, min(seen) AS root FROM reach GROUP BY node),
+        k AS (SELECT c.*, coalesce(r.root, p, e) AS root FROM c LEFT JOIN root r ON r.node = coalesce(p, e) WHERE coalesce(p, e) IS NOT NULL),
+        g AS (SELECT root, min(clip_id) AS group_id FROM k GROUP BY root HAVING count(DISTINCT p) >= 2)
+        SELECT DISTINCT clip_id, group_id FROM k JOIN g USING (root)""",
+    "p6_found": f"""
+        WITH c AS (SELECT DISTINCT clip_id, {canonical_split_sql("source_split")} AS s, regexp_extract(lower(sha256), '([0-9a-f]{{32,}})[^0-9a-z]*$', 1) AS h,
+          trim(regexp_replace(regexp_replace(replace(lower(translate(normalized_transcript, 'Iİ', 'ıi')), chr(775), ''), '\\p{{P}}', '', 'g'), '[\\p{{Z}}\\s]+', ' ', 'g')) AS t FROM clip_records),
+        d AS (SELECT clip_id, s, CASE WHEN h <> '' AND h NOT IN ({", ".join(repr(x) for x in EMPTY_DIGESTS)}) AND replace(h, h[1], '') <> '' THEN h END AS h,
+          CASE WHEN length(t) >= 30 THEN translate(t, 'çöüğışâîû', 'COUGISAEV') END AS t FROM c WHERE s IS NOT NULL),
+        texts AS (SELECT t, bool_or(s = 'train') AS train, bool_or(s <> 'train') AS held FROM d WHERE t IS NOT NULL GROUP BY t),
+        near AS (SELECT a.t AS a, b.t AS b FROM texts a JOIN texts b ON a.held AND b.train AND abs(length(a.t) - length(b.t)) <= 0.1 * greatest(length(a.t), length(b.t)) WHERE a.t = b.t OR levenshtein(a.t, b.t) * 10 <= greatest(length(a.t), length(b.t))),
+        pairs AS (SELECT x.clip_id AS i, y.clip_id AS j FROM near n JOIN d x ON x.t = n.a AND x.s <> 'train' JOIN d y ON y.t = n.b AND y.s = 'train'
+          UNION SELECT x.clip_id, y.clip_id FROM d x JOIN d y ON x.h = y.h WHERE x.s <> 'train' AND y.s = 'train')
+        SELECT DISTINCT least(i, j) AS clip_id_a, greatest(i, j) AS clip_id_b FROM pairs WHERE i <> j""",
 }
