@@ -146,7 +146,7 @@ def language(lang: Column) -> Column:
 def folded_words(text: Column) -> Column:
     """The distinct words of a text, as plain() gives them for texts without look-alike letters."""
     letters, to = "".join(a for a, _ in PLAIN), "".join(b for _, b in PLAIN)
-    return F.array_distinct(F.split(F.lower(F.translate(text, letters, to)), r"[^\p{L}]+"))
+    return F.array_distinct(F.split(F.lower(F.translate(text, letters, to)), r"[\s\p{Punct}\u00A0\u00AB\u00BB\u2000-\u206F\u3000]+"))
 
 
 def function_words(documents: DataFrame) -> dict[str, frozenset[str]]:
