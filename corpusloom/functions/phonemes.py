@@ -18,7 +18,7 @@ SYMBOLS = {
     "w": "v", "x": "ks", "y": "j", "z": "z", "â": "aː", "î": "iː", "û": "uː",
 }
 FRONT, BACK, SOUNDED = "eiöü", "aıou", "aeıioöuü"
-#: Symbols of single letters in timed tokens, where context is not known.
+# Symbols of single letters in timed tokens, where context is not known; those that are not the letter itself.
 TOKEN_SYMBOLS = {"c": "dʒ", "ç": "tʃ", "ğ": "ɰ", "ı": "ɯ", "j": "ʒ", "ö": "œ", "q": "k", "r": "ɾ", "ş": "ʃ", "ü": "y", "w": "v", "x": "ks", "y": "j"}
 
 _RULES = re.compile(rf"(?P<long>(?<=[{SOUNDED}])ğ+)|(?P<mute>ğ)|(?P<soft>[kg](?=[{FRONT}]))|(?P<hard>[kg])|(?P<dark>(?<=[{BACK}])l)|(?P<clear>l)|(?P<plain>[{''.join(SYMBOLS)}])")
@@ -56,3 +56,8 @@ def token_symbol(grapheme: Column) -> Column:
     """The symbol of one letter of a timed token; native."""
     table = F.create_map(*[F.lit(x) for kv in TOKEN_SYMBOLS.items() for x in kv])
     return F.coalesce(F.element_at(table, grapheme), grapheme)
+
+
+def inventory() -> list[str]:
+    """Every symbol that phonetic() can give, sorted."""
+    return sorted({*SYMBOLS.values(), "ː", "c", "ɟ", "k", "ɡ", "ɫ", "l"})

@@ -9,7 +9,7 @@ from corpusloom.functions import arrays, signal
 from corpusloom.functions.identity import canonical_split, canonical_split_sql
 from corpusloom.functions.text import character_error_rate, comparison_form, word_error_rate
 from corpusloom.operators import evidence, joins, reports, sampling
-from corpusloom.plans import datasets
+from corpusloom.plans import datasets, scripted, synthesis
 from corpusloom.queries.registry import query
 from corpusloom.queries.splitting import UNITS, clips, units
 from corpusloom.queries.text import COMPARABLE, distance_sql
@@ -164,3 +164,24 @@ def active_seconds(spark: SparkSession, folder: str) -> DataFrame:
     """Seconds of speech of each clip, with the quality score as its active share."""
     rows = clips(spark, folder, "clip_id", "duration_seconds", "metadata.quality_score")
     return rows.select("clip_id", F.round(evidence.active_seconds(units() / 1000.0, F.col("quality_score")), 3).alias("active_seconds")).distinct()
+
+
+@query("""WITH l AS (SELECT event_type AS level, event_id, epoch(ts) AS started, coalesce(value, 0) / 1000 AS latency, (event_id % 50) / 100.0 AS queued, event_id % 17 <> 0 AS met FROM events)
+ SELECT level, count(*) AS requests, round(count(*) / greatest(max(started + latency) - min(started), 1e-9), 6) AS per_second, count_if(NOT met) AS failures, round(quantile_cont(latency, 0.5), 6) AS service_p50, round(quantile_cont(latency, 0.95), 6) AS service_p95,
+  round(quantile_cont(CAST(queued AS DOUBLE), 0.5), 6) AS queue_p50, round(quantile_cont(CAST(queued AS DOUBLE), 0.95), 6) AS queue_p95 FROM l GROUP BY 1""")
+def concurrency_levels(spark: SparkSession, folder: str) -> DataFrame:
+    """A load test made of events, their types as levels."""
+    e = table(spark, folder, "events", "event_id", "event_type", "ts", "value")
+    rows = e.select(F.col("event_type").alias("level"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("started"), (F.coalesce("value", F.lit(0.0)) / 1000).alias("latency"), (F.col("event_id") % 50 / 100.0).alias("queued"), (F.col("event_id") % 17 != 0).alias("met"))
+    return synthesis.level_summary(rows, met=F.col("met"))
+
+
+@query()
+def scripted_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Words, exact matches and accepted segments of clips whose recognised words are spread evenly over their speech."""
+    asr = table(spark, folder, "asr_results", "clip_id", "text", "speech_seconds").where("text is not null and speech_seconds > 0").distinct()
+    words = F.split(F.trim("text"), r"\s+")
+    step = F.col("speech_seconds") / F.size(words)
+    timed = F.transform(words, lambda w, i: F.struct(w.alias("text"), (i * step).alias("start"), ((i + 1) * step).alias("end")))
+    rows = table(spark, folder, "clip_records", "clip_id", "transcript").where("transcript is not null").distinct().join(asr, "clip_id")
+    return scripted.parent_reports(scripted.with_script_reasons(scripted.scripted_segments(rows.withColumn("timed", timed), "clip_id", "transcript", "timed")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import struct
 from collections.abc import Iterator
@@ -111,3 +112,14 @@ def write_splits(df: DataFrame, path: str, split: str) -> None:
 def report_json(df: DataFrame) -> str:
     """A one-row frame as indented JSON with sorted keys."""
     return json.dumps(df.first().asDict(recursive=True), ensure_ascii=False, indent=2, sort_keys=True)
+
+
+def provenance(spark: SparkSession, folder: str) -> tuple[DataFrame, str]:
+    """(path, bytes, sha256) of the files below a folder, and one digest of that list; fails where there is none."""
+    base = folder.rstrip("/") + "/"
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    rows = files.select(F.substring_index("path", base, -1).alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    listed = [r.asDict() for r in rows.orderBy("path").collect()]  # files of one model or report, not of a corpus
+    if not listed:
+        raise ValueError(f"{folder} has no files")
+    return rows, hashlib.sha256(json.dumps(listed, ensure_ascii=False, sort_keys=True, separators=(",", ":")).encode()).hexdigest()

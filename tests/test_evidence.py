@@ -7,12 +7,12 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.functions import signal
+from corpusloom.functions import phonemes, signal, spelling
 from corpusloom.models import stages
 from corpusloom.models.protocols import Finding, Recognition, TimedWord, Transcript
-from corpusloom.operators import evidence
-from corpusloom.plans import datasets
-from corpusloom.sources import suites
+from corpusloom.operators import evidence, joins
+from corpusloom.plans import datasets, scripted, synthesis
+from corpusloom.sources import files, suites
 from corpusloom.streaming import incremental
 
 
@@ -252,3 +252,49 @@ def test_arrow_hub_blobs_and_views(spark, tmp_path):
     assert suites.public_view(rec).first().asDict() == {"clip_id": "c", "source_file": "y.wav", "quality_stage": "st"}
     fan = spark.createDataFrame([("a", [], "train"), ("b", ["x"], "train"), ("c", None, None)], "id string, reasons array<string>, split string")
     assert suites.write_fan_out(fan, str(tmp_path / "fan"), "reasons", "split") == {"accepted/train": 1, "rejected/train": 1, "accepted/none": 1}
+
+
+def test_suites_of_a_synthesiser(spark):
+    def factory():
+        def run(text, seed):
+            if "bozuk" in text:
+                raise ValueError(text)
+            t = np.arange(16_000 * len(text.split()))
+            return np.sin(t / 20) * np.where(t % 16_000 < 11_000, 0.5, 0.001), text.lower(), 80  # a pause in every second
+
+        return run
+
+    asked = synthesis.suite(spark.createDataFrame([("a", "Bir iki"), ("b", "Bozuk bozuk")], "id string, text string"), 2)
+    assert asked.count() == 4 and synthesis.suite(spark.createDataFrame([("a", "x"), ("b", "y")], "id string, text string"), 1, 1).first().id == "a"
+    asked = asked.withColumns({"expect_success": F.col("id") == "a", "target_seconds": F.lit(2.0)})
+    out = {(r.id, r.seed): r for r in synthesis.measured(synthesis.synthesised(asked, factory, 16_000), 0.2).collect()}
+    assert {k: r.status for k, r in out.items()} == {("a", 0): "passed", ("a", 1): "passed", ("b", 0): "rejected", ("b", 1): "rejected"}
+    a = out["a", 0]
+    assert a.audio_seconds == 2.0 and a.duration_error == 0.0 and a.signal_stable and a.normalized_text == "bir iki" and a.real_time_factor > 0 and out["b", 0].error == "ValueError"
+    levels = synthesis.level_summary(spark.createDataFrame([(1, 0.0, 1.0, 0.0, True), (1, 1.0, 1.0, 0.5, False)], "level int, started double, latency double, queued double, expectation_met boolean")).first()
+    assert (levels.requests, levels.per_second, levels.failures, levels.service_p50, levels.queue_p50) == (2, 1.0, 1, 1.0, 0.25)
+
+
+def test_scripted_recordings(spark):
+    text = "İlk cümle burada bitti. İkinci cümle, biraz daha uzun sürüyor."
+    said = "ilk cümle burada biti ikinci cümle biraz daha uzun sürüyor".split()
+    words = [(w, k * 1.0, k + 0.9) for k, w in enumerate(said)]
+    df = spark.createDataFrame([("p", text, words), ("none", text, []), ("null", None, None)], "id string, script string, words array<struct<text:string,start:double,end:double>>")
+    out = scripted.with_script_reasons(scripted.scripted_segments(df, "id", "script", "words", 3.0, 8.0)).orderBy("segment").collect()
+    assert [(r.parent, r.text, r.start, r.end, r.words, r.exact, r.reasons) for r in out] == [("p", "İlk cümle burada bitti.", 0.0, 3.9, 4, 3, []), ("p", "İkinci cümle, biraz daha uzun sürüyor.", 4.0, 9.9, 6, 6, [])]
+    report = scripted.parent_reports(scripted.with_script_reasons(scripted.scripted_segments(df, "id", "script", "words", 3.0, 8.0))).first()
+    assert (report.words, report.exact, report.ratio, report.accepted, report.accepted_seconds) == (10, 9, 0.9, 2, 9.8)
+
+
+def test_small_ones(spark, tmp_path):
+    assert phonemes.inventory() == sorted(set(phonemes.inventory())) and {"ɫ", "ɟ", "ː", "tʃ"} <= set(phonemes.inventory())
+    assert spelling.spoken_in("tr", "3. gün") == "üçüncü gün" and {"ğ", " ", "?"} <= set(spelling.trainer_symbols()) and len(set(spelling.trainer_symbols())) == len(spelling.trainer_symbols())
+    with pytest.raises(ValueError, match="no spoken form"):
+        spelling.spoken_in("xx", "a")
+    rows = spark.createDataFrame([("a", 1.0), ("b", 5.0), ("c", 9.0), (None, 5.0)], "k string, d double")
+    assert {r.k for r in joins.unused(rows, spark.createDataFrame([("c",), (None,)], "k string"), "k", d=(2.0, 9.0)).collect()} == {"b", None}
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m" / "a.txt").write_text("1")
+    (tmp_path / "m" / "b.txt").write_text("22")
+    files_, digest = files.provenance(spark, str(tmp_path / "m"))
+    assert {(r.path, r.bytes) for r in files_.collect()} == {("a.txt", 1), ("b.txt", 2)} and len(digest) == 64 and digest == files.provenance(spark, str(tmp_path / "m"))[1]
