@@ -25,9 +25,9 @@ OUTLIER = 26.12
 DIRECTED, WINSOR = 2.5, 6.0
 SHARE = 2 / 3
 
-#: Function words of a language are its words that the largest share of its documents has, at least COMMON of them, and at
-#: most FEW words.
-COMMON, FEW = 0.1, 60
+#: Function words of a language are its words that the largest share of its documents has, at least COMMON of them and
+#: LEAST in number, and at most FEW words.
+COMMON, LEAST, FEW = 0.1, 10, 60
 # Turkish numerals, folded to plain letters.
 NUMERALS = frozenset(["sifir", "bir", "iki", "uc", "dort", "bes", "alti", "yedi", "sekiz", "dokuz", "on", "yirmi", "otuz", "kirk", "elli", "altmis", "yetmis", "seksen", "doksan", "yuz", "bin"])
 PLAIN = (("I", "i"), ("İ", "i"), ("ı", "i"), ("ş", "s"), ("ç", "c"), ("ğ", "g"), ("ü", "u"), ("ö", "o"), ("Ş", "s"), ("Ç", "c"), ("Ğ", "g"), ("Ü", "u"), ("Ö", "o"))
@@ -116,7 +116,7 @@ def features(text: str, function_words: frozenset[str]) -> tuple[list[int], list
                     again += 2 if last < k else 1
                     last = k + 1
         counts = Counter(own)
-        common = sum(c * math.log(c) for c in counts.values() if c > 1)
+        alike = sum(c * math.log(c) for c in counts.values() if c > 1)
         linked = sum(map(len, LINK.findall(passage))) if any(x in passage for x in LINK_MARKS) else 0
         tags = passage.count("#") - passage.count("# ")
         if "-" in passage:
@@ -127,7 +127,7 @@ def features(text: str, function_words: frozenset[str]) -> tuple[list[int], list
                 min(1.0, 2 * tags / n),
                 min(1.0, sum(map(passage.count, SEPARATORS)) / n),
                 again / n,
-                common / (m * math.log(m)) if m > 2 else 0.0,
+                alike / (m * math.log(m)) if m > 2 else 0.0,
                 sum(map(function_words.__contains__, words)) / n,
                 min(1.0, 10 * sentence_ends(passage) / n),
                 min(1.0, 2 * len(ENTRY.findall(passage)) / n) if ("→" in passage or ":" in passage or "/" in passage or "[" in passage) else 0.0,
@@ -149,22 +149,16 @@ def folded_words(text: Column) -> Column:
     return F.array_distinct(F.split(F.lower(F.translate(text, letters, to)), r"[\s\p{Punct}\u00A0\u00AB\u00BB\u2000-\u206F\u3000]+"))
 
 
-def function_words(documents: DataFrame) -> dict[str, frozenset[str]]:
-    """The function words of each language of documents (lang, text): those of the largest document frequencies. "*" has
-    those of all documents. Collected are at most FEW words a language."""
+def function_words(documents: DataFrame) -> frozenset[str]:
+    """The function words of all languages of documents (lang, text): of each language the FEW words that most of its
+    documents have, where these are at least LEAST and a COMMON part of them. Which language a document says it is does
+    not matter then, as it may say nothing or a wrong one. Collected are at most FEW words a language."""
     each = documents.where("text is not null and text <> ''")
     sizes = each.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     per = each.select("lang", F.explode(folded_words(F.col("text"))).alias("word")).where("word <> ''").groupBy("lang", "word").agg(F.count(F.lit(1)).alias("df"))
-    per = cut(per.where("df > 1"))
-    both = per.join(F.broadcast(sizes), "lang").select("lang", "word", "df", "n")
-    total = sizes.agg(F.sum("n").alias("n"))
-    whole = per.groupBy("word").agg(F.sum("df").alias("df")).join(F.broadcast(total)).select(F.lit("*").alias("lang"), "word", "df", "n")
-    often = both.unionByName(whole).where(F.col("df") >= COMMON * F.col("n"))  # a document has few words, so these are few
+    often = per.where(F.col("df") >= LEAST).join(F.broadcast(sizes), "lang").where(F.col("df") >= COMMON * F.col("n"))  # a document has few words, so these are few
     top = often.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("df"), "word"))).where(F.col("k") <= FEW)
-    out: dict[str, set[str]] = {}
-    for r in top.select("lang", "word").collect():
-        out.setdefault(r.lang, set()).add(r.word)
-    return {k: frozenset(v) for k, v in out.items()}
+    return frozenset(r.word for r in top.select("word").distinct().collect())
 
 
 @dataclass(frozen=True)
@@ -182,7 +176,7 @@ def find_stuffed(
 
     Method: robust Mahalanobis distance. Every passage (a line, a run of short lines or a piece of a long one) has
     features of density (links, tags and codes, separators), repetition within its document, lack of entropy, function
-    words, sentence ends and entries of reference lists. The function words of a language are taken from the corpus: the
+    words, sentence ends and entries of reference lists. The function words of each language are taken from the corpus: the
     words that most of its documents have. Per language, over all passages, median and quartiles give centre and scale,
     and the covariance of the passages within three deviations gives the metric; each is blended with that of all
     passages by the number of the language's passages, so a rare language leans on all. A passage counts as spam where
@@ -198,19 +192,21 @@ def find_stuffed(
     rows = documents.select(F.col(id_col).alias("doc_id"), language(F.col(lang_col)).alias("lang"), F.col(text_col).alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
     names = [f"f{i}" for i in range(k)]
-    words_of = function_words(rows.select("lang", "text"))
+    common = function_words(rows.select("lang", "text"))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, sizes, values = [], [], []
-            for i, (lang, text) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
-                n, f = features(text or "", words_of.get(lang) or words_of.get("*", frozenset()))
-                at += [i] * max(1, len(n))
-                sizes += n or [0]
-                values += f or [[0.0] * k]
-            own = batch.take(pa.array(at, pa.int32()))
-            table = np.array(values, np.float32).reshape(-1, k)
-            yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(sizes, pa.int32()), *[pa.array(table[:, j]) for j in range(k)]], names=["doc_id", "lang", "words", *names])
+        for whole in batches:
+            for start in range(0, whole.num_rows, 500):
+                batch = whole.slice(start, 500)
+                at, sizes, values = [], [], []
+                for i, text in enumerate(batch.column(2).to_pylist()):
+                    n, f = features(text or "", common)
+                    at += [i] * max(1, len(n))
+                    sizes += n or [0]
+                    values += f or [[0.0] * k]
+                own = batch.take(pa.array(at, pa.int32()))
+                table = np.array(values, np.float32).reshape(-1, k)
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(sizes, pa.int32()), *[pa.array(table[:, j]) for j in range(k)]], names=["doc_id", "lang", "words", *names])
 
     parts = cut(rows.mapInArrow(measure, f"doc_id {id_type}, lang string, words int, " + ", ".join(f"{n} float" for n in names)))
     real = parts.where("words > 0")
