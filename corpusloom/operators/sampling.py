@@ -49,7 +49,7 @@ def _folded(rows: DataFrame) -> DataFrame:
     return folded.select("g", F.explode(F.aggregate("items", start, lambda a, x: F.when(a["t"] + x["s"] <= F.col("room"), take(a, x)).otherwise(a))["k"]).alias("i"))
 
 
-def greedy_cap(df: DataFrame, group: str, row_id: str, size: Column, order: list[Column], cap: int, bound: int = 2_000) -> DataFrame:
+def greedy_cap(df: DataFrame, group: str, row_id: str, size: Column, order: list[Column], cap: int, bound: int = 20_000) -> DataFrame:
     """(group, id) of the rows kept: in order, each row that still fits under the cap; a row that does not is skipped
     and later ones are tried. size: whole units, null counts as too large. Ids are told apart within a group.
 

@@ -174,8 +174,8 @@ def probability(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "events", "event_id", "value").select("event_id", F.round(text.probability(-F.col("value") / 100), 6).alias("p"))
 
 
-@query()
+@query(f"SELECT clip_id, CASE WHEN q >= 0.5 THEN {COMPARABLE.format(x='transcript')} END AS form FROM (SELECT DISTINCT clip_id, transcript, metadata.quality_score AS q FROM clip_records)")
 def reject_first(spark: SparkSession, folder: str) -> DataFrame:
     """A costly step for eligible rows only: the others pass unchanged."""
     rows = table(spark, folder, "clip_records", "clip_id", "transcript", "metadata.quality_score").distinct()
-    return gates.with_eligible(rows, F.col("quality_score") >= 0.5, lambda d: d.withColumn("form", spelling.comparable_form("transcript"))).select("clip_id", "form")
+    return gates.with_eligible(rows, F.col("quality_score") >= 0.5, lambda d: d.withColumn("form", text.comparison_form(F.col("transcript")))).select("clip_id", "form")
