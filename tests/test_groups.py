@@ -51,6 +51,23 @@ def test_cross_parent_pairs_of_a_hot_speaker(spark):
     assert len(out) == len(want) and set(out) == want and ("a", "b") in want and ("a", "c") not in want
 
 
+def test_theta_pairs_of_a_clip_in_two_spellings(spark, tmp_path):
+    rows = [("a", "SY-1", 3.0, "x", (None,)), ("a", "sy_1", 3.0, "x", (None,)), ("a", "sy_1", 3.0, "x", ("a",)), ("b", "sy-1", 4.0, "y", (None,))]
+    names = "clip_id string, speaker_id string, duration_seconds double, transcript string, metadata struct<parent_clip_id: string>"
+    spark.createDataFrame(rows, names).withColumn("normalized_transcript", F.lit("")).write.parquet(f"{tmp_path}/clip_records.parquet")
+    got = all_queries()["theta_pairs"](spark, str(tmp_path))
+    assert sorted((x.target, x.reference) for x in got.collect()) == [("a", "b"), ("b", "a")]
+
+
+def test_pairs_of_a_hot_speaker_take_few_bits_each(spark, tmp_path):
+    n = 2000
+    key = F.substring(F.sha2(F.col("id").cast("string"), 256), 1, 24)
+    rows = spark.range(n).select(key.alias("i"), F.lit("hot").alias("s"), key.alias("p"), (2 + F.pmod(F.xxhash64("id"), F.lit(300)) / 100).alias("d"), F.lit(10).alias("n"))
+    joins.cross_parent_pairs(rows, "s", "p", "i", "d", "n", 2.0, 12.0, 12.0, 512).write.parquet(f"{tmp_path}/pairs")
+    assert spark.read.parquet(f"{tmp_path}/pairs").distinct().count() == n * (n - 1)
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 0.8 * n * n
+
+
 def test_ratings_whole(spark, tmp_path):
     events = [(k, k * 7 % 90) for k in range(9000)]
     spark.createDataFrame(events, "event_id long, user_id long").write.parquet(f"{tmp_path}/events.parquet")
