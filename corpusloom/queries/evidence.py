@@ -108,7 +108,8 @@ def split_contract(spark: SparkSession, folder: str) -> DataFrame:
 @query("""SELECT clip_id, source_dataset, source_version, source_split, source_row_id, transcript, normalized_transcript, language, license_id, round(duration_seconds, 6) AS duration_seconds, sample_rate_hz, sha256, regexp_extract(audio_path, '[^/\\\\]*$') AS source_file FROM clip_records""")
 def public_manifest(spark: SparkSession, folder: str) -> DataFrame:
     """The fields of records that may be published; paths lose their folders, and speakers and votes stay inside."""
-    return public_view(table(spark, folder, "clip_records")).withColumn("duration_seconds", F.round("duration_seconds", 6))
+    scaled = F.col("duration_seconds") * 1e6  # rounded as the SQL does, in binary: F.round(x, 6) rounds the decimal digits of x
+    return public_view(table(spark, folder, "clip_records")).withColumn("duration_seconds", F.when(F.abs(scaled) < float("inf"), F.round(scaled) / 1e6).otherwise(F.col("duration_seconds")))
 
 
 @query(f"""WITH c AS (SELECT DISTINCT clip_id, source_dataset, {_SPLIT} AS split, duration_seconds AS d, coalesce(metadata.parent_clip_id, clip_id) AS parent FROM clip_records WHERE source_dataset IS DISTINCT FROM 'kitap-anlatim')
