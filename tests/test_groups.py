@@ -68,6 +68,33 @@ def test_pairs_of_a_hot_speaker_take_few_bits_each(spark, tmp_path):
     assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 0.8 * n * n
 
 
+def outputs_of_join(plan):
+    """Rows that the merge join of a plan that ran has given."""
+    name = plan.getClass().getSimpleName()
+    if name == "SortMergeJoinExec":
+        return plan.metrics().apply("numOutputRows").value()
+    below = [plan.executedPlan()] if name == "AdaptiveSparkPlanExec" else [plan.plan()] if name.endswith("QueryStageExec") else [plan.children().apply(k) for k in range(plan.children().size())]
+    return sum(outputs_of_join(x) for x in below)
+
+
+def test_pairs_of_a_hot_speaker_come_without_those_of_a_whole_block(spark):
+    rows = spark.range(4000).select(F.col("id").cast("string").alias("i"), F.lit("hot").alias("s"), F.col("id").cast("string").alias("p"), F.lit(3.0).alias("d"), F.lit(10).alias("n"))
+    run = joins.cross_parent_pairs(rows, "s", "p", "i", "d", "n", 2.0, 12.0, 12.0, 512)._jdf.queryExecution()
+    assert run.toRdd().toJavaRDD().take(1).size() == 1
+    assert 1 <= outputs_of_join(run.executedPlan()) <= 64
+
+
+def test_pairs_of_a_speaker_in_many_tiles_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(joins, "BLOCK", 4)
+    monkeypatch.setattr(joins, "TILE", 24)
+    draw = random.Random(5)
+    rows = [(f"i{k}" if k % 50 else None, draw.choice(["hot", "hot", "hot", "few", None]), draw.choice([None, "p1", "p2", f"i{k // 2}"]), draw.choice([0.5, 1.0, 2.0, 3.3, 6.0, 8.7, 10.0, 11.0, float("nan"), None]), draw.choice([1, 200, 255, 256, 400])) for k in range(400)]
+    got = joins.cross_parent_pairs(spark.createDataFrame(rows, "i string, s string, p string, d double, n int"), "s", "p", "i", "d", "n", 2.0, 12.0, 12.0, 512).collect()
+    known = [r for r in rows if r[0] and r[1] and r[3] is not None]
+    want = {(t[0], r[0]) for t in known for r in known if t[1] == r[1] and (t[2] or t[0]) != (r[2] or r[0]) and t[0] != r[0] and 2 <= r[3] <= 12 and t[3] + r[3] <= 12 and t[4] + r[4] + 1 <= 512}
+    assert len(got) == len(want) > 1000 and {(x.target, x.reference) for x in got} == want
+
+
 def test_ratings_whole(spark, tmp_path):
     events = [(k, k * 7 % 90) for k in range(9000)]
     spark.createDataFrame(events, "event_id long, user_id long").write.parquet(f"{tmp_path}/events.parquet")
